@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, toxicity, url_filter, warc, wavelet
+from . import decontaminate, ngram_join, packing, quality, secrets, substring_dedup, toxicity, url_filter, warc, wavelet
 from .store import read_table
 
 
@@ -40,11 +40,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose word n-gram sets are alike."""
+    return ngram_join.similar_pairs(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken for toxic."""
     return toxicity.flag(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that several documents hold."""
+    return substring_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as WARC files and read back."""
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
@@ -52,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_secret_scans, op3_url_filters, op4_token_output, op5_decontamination, op6_packing, op8_toxicity, op10_warc)
+    for f in (op1_quality_rules, op2_secret_scans, op3_url_filters, op4_token_output, op5_decontamination, op6_packing, op7_ngram_join, op8_toxicity, op9_substring_dedup, op10_warc)
 }
 
 ORACLES: dict[str, str] = {

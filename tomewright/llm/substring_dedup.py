@@ -42,7 +42,7 @@ from .text import RunHash, Words, chunks, gram_hashes, signed
 class SubstringParams:
     least_words: int = 50
     k: int = 16
-    segment_runs: int = 2_000_000
+    segment_runs: int = 500_000
 
     @property
     def sample(self) -> int:

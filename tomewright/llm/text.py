@@ -14,7 +14,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

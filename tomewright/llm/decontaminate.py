@@ -43,7 +43,7 @@ class DecontaminationParams:
     least_words: int = 8
     slack: int = 3
     near_share: float = 0.8
-    segment_words: int = 1_500_000
+    segment_words: int = 1_000_000
     pass_words: int = 2_000_000
 
 
@@ -167,6 +167,7 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
         ok = (offset < 0) | (known[word] & (keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k))
         windows, at = windows[ok], at[ok]
     out = _spans(g, t, windows, at, "phrase")
+    phrases = np.sort((t.item[windows] << 40) + at)
 
     tried = [occurrences(everything, rank) for rank in (0, 1)]
     windows, at = (np.concatenate(x) for x in zip(*tried, strict=True))
@@ -188,11 +189,13 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
         hit = (offset < 0) | (known[word] & (last >= first) & (keys[np.minimum(i, len(keys) - 1)] <= key(word, last)) & (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] >= key(word, first)))
         missing[alive] += np.where(hit, 0, t.weight[word])
         alive = alive[missing[alive] <= (1 - p.near_share) * full[w]]
-    near = _spans(g, t, windows[alive], at[alive], "near")
-    covered: dict[tuple[int, int], list[tuple]] = {}
-    for m in out:
-        covered.setdefault(m[:2], []).append(m)
-    return out + [m for m in near if not any(e[5] - p.slack - p.window <= m[5] and m[6] <= e[6] + p.slack + p.window for e in covered.get(m[:2], ()))]
+    windows, at = windows[alive], at[alive]
+    # windows that lie on a phrase of their item are reported already
+    place_of = (t.item[windows] << 40) + at
+    i = np.searchsorted(phrases, place_of)
+    reach = p.window + p.slack
+    free = (np.abs(phrases[np.minimum(i, len(phrases) - 1)] - place_of) >= reach) & (np.abs(phrases[np.maximum(i - 1, 0)] - place_of) >= reach) if len(phrases) else np.ones(len(windows), bool)
+    return out + _spans(g, t, windows[free], at[free], "near")
 
 
 def _spans(g: Segment, t: Tests, windows: np.ndarray, at: np.ndarray, kind: str) -> list[tuple]:

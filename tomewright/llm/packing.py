@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .tokenizer import TokenizerParams, load
+from .tokenizer import TokenizerParams, encode_list
 
 ROWS = "window_id long, doc_id long, doc_from long, doc_to long, at int, is_open boolean"
 
@@ -77,14 +77,8 @@ class OpenWindows:
 
 def token_counts(texts: list[str | None], p: TokenizerParams) -> Iterator[int]:
     """Tokens and separator of each text; 0 for null or empty text."""
-    encoding = load(p)
     for t in texts:
-        if not t:
-            yield 0
-            continue
-        if "\ud800" <= max(t) <= "\udfff":
-            t = t.encode("utf-8", "replace").decode()
-        yield len(encoding.encode_to_numpy(t, disallowed_special=())) + 1
+        yield len(encode_list(t, p)) + 1 if t else 0
 
 
 def merge_leftovers(fills: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:

@@ -10,27 +10,31 @@ import numpy as np
 
 @dataclass(frozen=True)
 class TokenizerParams:
-    """path: a file of `base64 rank` lines on every executor; separator: the id put after each document."""
+    """path: a file of `base64 rank` lines on every executor; separator: the id put after each document.
+    The pattern is the vocabulary's own, with possessive quantifiers, which split alike and faster."""
 
     path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    pattern: str = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     separator: int = 50256
 
 
-def load(p: TokenizerParams, store: dict = {}):  # noqa: B006
-    if p not in store:
-        import tiktoken
+def load(p: TokenizerParams):
+    """The vocabulary, kept by the library for the life of a Python worker."""
+    import tiktoken
+    from tiktoken import registry
 
+    name = f"{p.path}\n{p.pattern}"
+    if name not in registry.ENCODINGS:
         with open(p.path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        store[p] = tiktoken.Encoding(p.path, pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
-    return store[p]
+        registry.ENCODINGS[name] = tiktoken.Encoding(p.path, pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
+    return registry.ENCODINGS[name]
+
+
+def encode_list(text: str | None, p: TokenizerParams) -> list[int]:
+    """Token ids of one text (empty for null or empty text), without the separator. Text that looks like a special token is text."""
+    return load(p).encode_ordinary(text) if text else []
 
 
 def encode(text: str | None, p: TokenizerParams) -> np.ndarray:
-    """Token ids of one text (empty for null or empty text), without the separator."""
-    if not text:
-        return np.empty(0, np.uint32)
-    if "\ud800" <= max(text) <= "\udfff":
-        text = text.encode("utf-8", "replace").decode()
-    return load(p).encode_to_numpy(text, disallowed_special=())
+    return np.array(encode_list(text, p), np.uint32)

@@ -58,8 +58,9 @@ def test_queries(spark, name):
     assert name in entry.queries()
     if name in ORACLES:
         con = duckdb.connect()
-        path = f"{FOLDER}/pages.parquet"
-        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path if os.path.isfile(path) else path + '/*.parquet'}'")
+        for t in ("pages", "documents"):
+            path = f"{FOLDER}/{t}.parquet"
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path if os.path.isfile(path) else path + '/*.parquet'}'")
         want = con.sql(ORACLES[name]).df()
         key = lambda d: sorted(tuple("" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
         assert key(got) == key(want)

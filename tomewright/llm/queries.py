@@ -67,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filter.oracle(),
+    "op9_substring_dedup": substring_dedup.oracle(),
     "op10_warc": "SELECT page_id, url, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n_bytes, true AS digest_ok FROM pages",
 }

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tomewright.functions import codec, keys
-from tomewright.operators import joins, log, metrics, ring, sets, versions
+from tomewright.operators import joins, log, metrics, ring, running, sets, versions
 from tomewright.streaming import log_stream
 
 LOG = "key string, txn_id bigint, seq bigint, value string, expires_at timestamp, deleted boolean"
@@ -131,3 +131,16 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     seen = [(r["key"], r["txn_id"], r["live"]) for r in spark.table("latest").collect()]
     assert ("a", 2, True) in seen and ("b", 3, True) in seen
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 40), st.integers(-5, 5)), unique_by=lambda r: r[:2], max_size=20))
+def test_running_sums_and_gaps(spark, rows):
+    frame = spark.createDataFrame(rows, "k string, n bigint, v bigint")
+    part = F.floor(F.col("n") / 7)
+    got = {(r["k"], r["n"]): r["s"] for r in running.running_sums(frame, "n", part, ["k"], s="v").collect()}
+    before = {(r["k"], r["n"]): r["p"] for r in running.previous(frame, "n", part, ["k"], "p").collect()}
+    assert len(got) == len(before) == len(rows)
+    for k, n, _ in rows:
+        assert got[k, n] == sum(v for a, m, v in rows if a == k and m <= n)
+        assert before[k, n] == max((m for a, m, _ in rows if a == k and m < n), default=None)

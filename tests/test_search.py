@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -85,3 +86,14 @@ def test_deltas_and_segment(spark, tmp_path):
     for r in rows:
         assert r["offset"] == at
         at += r["bytes"]
+
+
+def test_remote_sites(spark):
+    class Sites:
+        def broadcast_query(self, query_json):
+            assert json.loads(query_json)["limit"] == 10
+            return ['[{"doc_id": "remote-doc-99", "score": 8.5}]', "not json", '[{"no": 1}]']
+
+    docs = spark.createDataFrame([("doc-local", "critical threat detected", "n1")], "doc_id string, text string, site string")
+    hits = search.scatter_gather(docs, "critical threat", 10, "site", remote=search.remote_hits(spark, Sites(), "critical threat", 10)).collect()
+    assert [h["doc_id"] for h in hits] == ["remote-doc-99", "doc-local"]

@@ -1,9 +1,11 @@
+import time
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pytest
 
 from tomewright.operators.execute import Engine
+from tomewright.operators.metrics import Samples
 from tomewright.plans.boolean import QueryError
 from tomewright.plans.commands import CommandError, Insert, Select, parse_command
 from tomewright.sources.objects import Objects
@@ -88,7 +90,9 @@ def test_checkpoint(store):
 
 
 def test_pipeline_of_commands(store):
-    db = Engine(store, metrics=[("hit", 0), ("miss", 0), ("flush", 8), ("begin", 0)])
+    db = Engine(store, metrics=Samples())
+    db.metrics.record("hit")
+    db.metrics.record("miss")
     for i, text in enumerate(["cybersecurity research adversarial ai", "cryptography modular point transformer", "adversarial ai ethical inversion"], 1):
         db.execute(f"INSERT INTO docs VALUES ({i}, '{text}')")
     assert store.read("docs", "1") == "cybersecurity research adversarial ai"
@@ -106,7 +110,8 @@ def test_pipeline_of_commands(store):
     assert [(r["doc_id"], r["right_text"]) for r in joined] == [(1, "joined ai")]
     assert "SUCCESS" in db.execute("RECOVER").first()["status"]
     assert "SUCCESS" in db.execute("CHECKPOINT").first()["status"]
-    assert "hit ratio 50.00%" in db.execute("SHOW METRICS").first()["status"]
+    status = db.execute("SHOW METRICS").first()["status"]
+    assert "hit ratio 50.00%" in status and "active transactions 1" in status
     assert [r["doc_id"] for r in db.execute("SELECT * FROM docs WHERE ai").collect()] == [1]
 
 
@@ -156,16 +161,38 @@ class NoId:
 
 
 def test_object_lifecycle(store):
-    db, user = Objects(store), UserProfile(42, "greg", "it's a Researcher", True)
+    db, user = Objects(store), UserProfile(42, "mara", "it's a Researcher", True)
     db.insert(user)
     assert db.find(UserProfile, 42) == user
     user.role, user.is_active = "Red Teamer", False
     db.update(user)
     assert db.find(UserProfile, 42) == user
-    assert db.frame(UserProfile).first().asDict() == {"id": 42, "username": "greg", "role": "Red Teamer", "is_active": False}
+    assert db.frame(UserProfile).first().asDict() == {"id": 42, "username": "mara", "role": "Red Teamer", "is_active": False}
     db.delete(user)
     with pytest.raises(KeyNotFound, match="record query failed"):
         db.find(UserProfile, 42)
     for wrong, error in (("text", "must be a dataclass"), (NoId("x"), "'id' field"), (UserProfile(-1, "", "", True), "unsigned integer")):
         with pytest.raises(TypeError, match=error):
             db.insert(wrong)
+
+
+def test_scan_and_background_checkpoints(store):
+    put(store, [("p1", "a"), ("p2", "b"), ("p3", "c"), ("q", "d")])
+    seen = []
+    assert store.scan("kv", "p", lambda k, v: seen.append((k, v)) or len(seen) < 2) == 2
+    assert seen == [("p1", "a"), ("p2", "b")]
+    store.start_checkpointer(0.1)
+    deadline = time.time() + 60
+    while store.generation("kv") == 0 and time.time() < deadline:
+        time.sleep(0.1)
+    store.close()
+    assert store.generation("kv") >= 1 and store.read("kv", "q") == "d"
+
+
+def test_own_statement(store):
+    class CountRows:
+        def run(self, engine):
+            return engine.store.live("kv").groupBy().count()
+
+    put(store, [("k", "1")])
+    assert Engine(store).run(CountRows()).first()[0] == 1

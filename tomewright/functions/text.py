@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = ("the", "is", "at", "which", "on", "and", "a", "an", "in", "of", "to", "for", "with", "by", "as")
+STOP_WORDS = tuple("a an and as at by for in is of on the to which with".split())
 
 
 def ascii_tokens(text: Column | str) -> Column:

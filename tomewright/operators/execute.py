@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from tomewright.plans import commands as C
 from tomewright.sources.version_store import VersionStore
 
 from .joins import equi_join
-from .metrics import metrics_snapshot, report
+from .metrics import Samples, metrics_snapshot, report
 from .search import scan_condition, select_documents
 
 DONE = "SUCCESS"
@@ -51,7 +52,7 @@ class Engine:
 
     store: VersionStore
     codec: Codec = field(default_factory=ZlibCodec)
-    metrics: list[tuple[str, int]] | None = None
+    metrics: Samples | None = None
 
     def documents(self, table: str, compressed: bool = False) -> DataFrame:
         rows = self.store.live(table).select(F.col("key").cast("bigint").alias("doc_id"), F.col("value").alias("text"))
@@ -61,9 +62,23 @@ class Engine:
         return rows.select("doc_id", F.when(F.col("text").rlike("^[A-Za-z0-9+/]{4,}={0,2}$"), packed.cast("string")).otherwise(F.col("text")).alias("text"))
 
     def execute(self, text: str) -> DataFrame:
-        statement = C.parse_command(text)
-        run = getattr(statement, "run", None)
-        return run(self) if run else getattr(self, f"_{type(statement).__name__.lower()}")(statement)
+        return self.run(C.parse_command(text))
+
+    def run(self, statement: C.Statement) -> DataFrame:
+        """A statement of the language, or any object with run(engine) -> DataFrame."""
+        own = getattr(statement, "run", None)
+        began = time.monotonic_ns()
+        if self.metrics is not None:
+            self.metrics.record("begin")
+        try:
+            return own(self) if own else getattr(self, f"_{type(statement).__name__.lower()}")(statement)
+        finally:
+            if self.metrics is not None:
+                self.metrics.record("end")
+                if isinstance(statement, (C.Insert, C.Update, C.Delete, C.HashSet)):
+                    self.metrics.record("flush", time.monotonic_ns() - began)
+                elif isinstance(statement, C.Checkpoint):
+                    self.metrics.record("compaction", time.monotonic_ns() - began)
 
     def _say(self, status: str) -> DataFrame:
         return self.store.spark.createDataFrame([(status,)], "status string")
@@ -118,4 +133,4 @@ class Engine:
     def _showmetrics(self, s: C.ShowMetrics) -> DataFrame:
         if self.metrics is None:
             raise RuntimeError("telemetry interface is not active on this runtime instance")
-        return report(metrics_snapshot(self.store.spark.createDataFrame(self.metrics, "kind string, amount bigint")))
+        return report(metrics_snapshot(self.metrics.frame(self.store.spark)))

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from tomewright.functions.codec import varint_length
 from tomewright.functions.text import ascii_tokens, unicode_tokens
 
+from .running import previous, running_sums
+
 CHUNK = 256
+#: Ids of 2**PART_BITS in a row are ordered by one task.
+PART_BITS = 20
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,21 +54,19 @@ def corpus_stats(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 def running_lengths(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
     """doc_id, documents and tokens so far within the key, in the order of doc_id: the mean length as documents come in."""
-    w = Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = docs.select(key.alias("shard"), "doc_id", F.size(unicode_tokens(text)).cast("bigint").alias("n"))
-    return sized.select("shard", "doc_id", F.count("*").over(w).alias("documents"), F.sum("n").over(w).alias("tokens"))
+    sized = docs.select(key.alias("shard"), "doc_id", F.lit(1).cast("bigint").alias("one"), F.size(unicode_tokens(text)).cast("bigint").alias("n"))
+    return running_sums(sized, "doc_id", F.shiftright("doc_id", PART_BITS), ["shard"], documents="one", tokens="n").select("shard", "doc_id", "documents", "tokens")
 
 
 def delta_encode(posted: DataFrame) -> DataFrame:
     """(term, doc_id, delta): the gap to the id before it, the first id as it is."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return posted.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("delta"))
+    before = previous(posted.select("term", "doc_id"), "doc_id", F.shiftright("doc_id", PART_BITS), ["term"], "before")
+    return before.select("term", "doc_id", (F.col("doc_id") - F.coalesce("before", F.lit(0))).alias("delta"))
 
 
 def delta_decode(gaps: DataFrame, order: str = "position") -> DataFrame:
     """(term, position, doc_id) from (term, position, delta)."""
-    w = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return gaps.select("term", order, F.sum("delta").over(w).alias("doc_id"))
+    return running_sums(gaps, order, F.shiftright(order, PART_BITS), ["term"], doc_id="delta").select("term", order, "doc_id")
 
 
 def chunked(frequencies: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -82,13 +84,8 @@ def chunk_rows(frequencies: DataFrame, size: int = CHUNK) -> DataFrame:
 def segment_dictionary(posted: DataFrame) -> DataFrame:
     """(term, postings, bytes, offset) of a segment in which a term takes a 4-byte count and a varint a delta.
 
-    The offset is a running sum over all terms. It is taken in two steps, within ranges of
-    terms and over the totals of the ranges, so that no task holds the whole dictionary.
+    The offset is a running sum over all terms, taken within first letters of terms and over their totals.
     """
     sizes = delta_encode(posted).groupBy("term").agg(F.count("*").alias("postings"), (F.sum(varint_length(F.col("delta"))) + 4).alias("bytes"))
-    placed = sizes.withColumn("part", F.substring("term", 1, 2))
-    inner = Window.partitionBy("part").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = sizes.groupBy(F.substring("term", 1, 2).alias("part")).agg(F.sum("bytes").alias("total"))
-    outer = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 37 * 37 rows
-    base = totals.select("part", (F.sum("total").over(outer) - F.col("total")).alias("base"))
-    return placed.join(base, "part").select("term", "postings", "bytes", (F.col("base") + F.sum("bytes").over(inner) - F.col("bytes")).alias("offset"))
+    placed = running_sums(sizes.withColumn("all", F.lit(0)), "term", F.substring("term", 1, 3), ["all"], upto="bytes")
+    return placed.select("term", "postings", "bytes", (F.col("upto") - F.col("bytes")).alias("offset"))

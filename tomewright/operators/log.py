@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tomewright.functions.codec import checksum
 
+from .running import running_sums
+
 HEADER = 49
 
 
@@ -22,12 +24,9 @@ def record_size(key: Column, old: Column, new: Column) -> Column:
 def with_lsn(records: DataFrame, size: Column, order: str, part: Column) -> DataFrame:
     """Adds lsn, the bytes before a record in the order of `order`. part: a column that never falls
     along the order (a day, say); sums run within parts and over their totals, so no task sorts the whole log."""
-    sized = records.withColumn("_size", size).withColumn("_part", part)
-    inner = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = sized.groupBy("_part").agg(F.sum("_size").alias("_total"))
-    outer = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a part
-    base = totals.select("_part", (F.sum("_total").over(outer) - F.col("_total")).alias("_base"))
-    return sized.join(base, "_part").withColumn("lsn", F.col("_base") + F.sum("_size").over(inner) - F.col("_size")).drop("_size", "_part", "_base")
+    sized = records.withColumns({"_size": size, "_all": F.lit(0)})
+    summed = running_sums(sized, order, part, ["_all"], lsn="_size")
+    return summed.withColumn("lsn", F.col("lsn") - F.col("_size")).drop("_size", "_all")
 
 
 def with_previous(records: DataFrame) -> DataFrame:

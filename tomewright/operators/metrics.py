@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import threading
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class EngineMetrics(Protocol):
+    """Extension point: where an engine reports what it does. kind: hit, miss, flush, compaction, begin or end."""
+
+    def record(self, kind: str, amount: int = 0) -> None: ...
+
+
+class Samples:
+    """Keeps the samples of a driver process."""
+
+    def __init__(self):
+        self._held: list[tuple[str, int]] = []
+        self._mutex = threading.Lock()
+
+    def record(self, kind: str, amount: int = 0) -> None:
+        with self._mutex:
+            self._held.append((kind, int(amount)))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        with self._mutex:
+            return spark.createDataFrame(list(self._held), "kind string, amount bigint")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where there is nothing to divide by."""
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))

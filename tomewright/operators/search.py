@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections import Counter
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.scoring import bm25
@@ -23,6 +25,24 @@ class AccessPolicy(Protocol):
     def log_audit(self, subject: str, action: str, allowed: bool) -> None: ...
 
 
+class Transport(Protocol):
+    """Extension point: sends a query to other sites and gives each one's hits as JSON rows of doc_id and score."""
+
+    def broadcast_query(self, query_json: str) -> list[str]: ...
+
+
+def remote_hits(spark: SparkSession, transport: Transport, query: str, limit: int) -> DataFrame:
+    """(doc_id, score) of other sites. An answer that can't be read counts as none."""
+    asked = json.dumps({"query_id": f"q-{zlib.crc32(query.encode()):08x}", "query_text": query, "limit": limit})
+    rows = []
+    for answer in transport.broadcast_query(asked):
+        try:
+            rows += [(str(h["doc_id"]), float(h["score"])) for h in json.loads(answer)]
+        except (ValueError, KeyError, TypeError):
+            continue
+    return spark.createDataFrame(rows, "doc_id string, score double")
+
+
 def scan_condition(query: Query, text: str = "text") -> Column:
     """The query as a condition on the text column: one pass, no join."""
     tokens = ascii_tokens(text)

@@ -13,6 +13,7 @@ points at it. Transaction ids come from the driver, the only writer.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from typing import Protocol
@@ -49,10 +50,16 @@ class KeyValueStore(Protocol):
 
     def begin(self) -> int: ...
 
+    def live(self, collection: str, txn: int | None = None) -> DataFrame: ...
+
     def read(self, collection: str, key: str, txn: int | None = None) -> str: ...
 
     def write(self, collection: str, rows: DataFrame, txn: int | None = None) -> int: ...
 
+    def delete(self, collection: str, keys: DataFrame, txn: int | None = None) -> int: ...
+
+    def scan(self, collection: str, prefix: str, visit: Callable[[str, str], bool], txn: int | None = None) -> int: ...
+
 
 @dataclass
 class VersionStore:
@@ -63,6 +70,8 @@ class VersionStore:
     active: set[int] = field(default_factory=set)
     _mutex: threading.RLock = field(default_factory=threading.RLock)
     _last: int | None = None
+    _closing: threading.Event = field(default_factory=threading.Event)
+    _checkpointer: threading.Thread | None = None
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -149,6 +158,34 @@ class VersionStore:
         """Rows with start <= key <= end in order, one partition at a time on the driver; stop when you like."""
         return self.live(collection, txn).where(F.col("key").between(start, end)).orderBy("key").toLocalIterator()
 
+    def scan(self, collection: str, prefix: str, visit: Callable[[str, str], bool], txn: int | None = None) -> int:
+        """Calls visit(key, value) for live keys with the prefix in ascending order until it gives False; the number of calls."""
+        calls = 0
+        for row in self.live(collection, txn).where(F.col("key").startswith(prefix)).orderBy("key").toLocalIterator():
+            calls += 1
+            if visit(row["key"], row["value"]) is False:
+                break
+        return calls
+
+    def start_checkpointer(self, seconds: float = 300.0) -> None:
+        """Checkpoints all collections every so many seconds until close()."""
+
+        def loop() -> None:
+            while not self._closing.wait(seconds):
+                for name in self.collections():
+                    self.checkpoint(name)
+
+        self._closing.clear()
+        self._checkpointer = threading.Thread(target=loop, name="checkpointer", daemon=True)
+        self._checkpointer.start()
+
+    def close(self) -> None:
+        """Stops background work."""
+        self._closing.set()
+        if self._checkpointer is not None:
+            self._checkpointer.join()
+            self._checkpointer = None
+
     def hset(self, name: str, field_: str, value: str, ttl: timedelta | None = None) -> int:
         """Sets one field of a hash."""
         return self.write("_hashes", self.spark.createDataFrame([(f"H:{name}:{field_}", value)], "key string, value string"), ttl=ttl)

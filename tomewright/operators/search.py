@@ -14,8 +14,6 @@ from tomewright.functions.scoring import bm25
 from tomewright.functions.text import analyze, ascii_tokens, unicode_tokens
 from tomewright.plans.boolean import Query, parse
 
-from .index import corpus_stats
-
 
 class AccessPolicy(Protocol):
     """Extension point: asked before a search runs."""
@@ -80,13 +78,13 @@ def _times_in(tokens: Column, word: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == word))
 
 
-def scored(docs: DataFrame, query: str, stats: DataFrame, *keys: str, length_norm: bool = False, filtered: bool = True) -> DataFrame:
+def scored(docs: DataFrame, query: str, *keys: str, stats: DataFrame | None = None, length_norm: bool = False, filtered: bool = True) -> DataFrame:
     """(keys, doc_id, score) of the documents that match the query.
 
     Every analyzed word of the query scores, once for each time it stands there. filtered:
     only documents that satisfy the query as a boolean expression; without length_norm
-    every document counts as one of mean length. Each text is tokenized once; what
-    shuffles is one row a document and query word.
+    every document counts as one of mean length. Statistics that aren't given are taken in
+    the pass that takes the document frequencies. What shuffles is one row a task (and key).
     """
     times = Counter(analyze(query))
     tokens = unicode_tokens("text")
@@ -97,9 +95,12 @@ def scored(docs: DataFrame, query: str, stats: DataFrame, *keys: str, length_nor
         return docs.select(*keys, "doc_id", F.lit(0.0).alias("score")).limit(0)
     # document frequencies over the whole corpus, as one row (a key)
     frequencies = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(times))]
-    every = counted.select(*keys, *counts)
+    if stats is None:
+        frequencies += [F.count("*").alias("total_docs"), (F.sum("length").cast("double") / F.count("*")).alias("avg_doc_len")]
+    every = counted.select(*keys, F.coalesce(F.size("tokens"), F.lit(0)).alias("length"), *counts)
     table = every.groupBy(*keys).agg(*frequencies) if keys else every.agg(*frequencies)
-    table = table.join(stats, list(keys)) if keys else table.crossJoin(stats)
+    if stats is not None:
+        table = table.join(stats, list(keys)) if keys else table.crossJoin(stats)
     mine = texts.select(*keys, "doc_id", tokens.alias("tokens")).select(*keys, "doc_id", F.size("tokens").alias("length"), *counts)
     joined = mine.join(F.broadcast(table), list(keys)) if keys else mine.crossJoin(F.broadcast(table))  # one row a key
     length = F.col("length") if length_norm else F.col("avg_doc_len")
@@ -119,7 +120,21 @@ def top(hits: DataFrame, limit: int) -> DataFrame:
 
 def search(docs: DataFrame, query: str, limit: int = 10, stats: DataFrame | None = None, length_norm: bool = False) -> DataFrame:
     """(doc_id, score): ranked search of one corpus."""
-    return top(scored(docs, query, stats if stats is not None else corpus_stats(docs), length_norm=length_norm), limit)
+    return top(scored(docs, query, stats=stats, length_norm=length_norm), limit)
+
+
+def score_postings(frequencies: DataFrame, stats: DataFrame, query: str, matching: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) from a stored index (term, doc_id, tf) and one row of corpus statistics: reads the
+    postings of the query's words alone. matching: doc_id of the documents that count."""
+    times = Counter(analyze(query))
+    hit = frequencies.where(F.col("term").isin(list(times)))
+    if matching is not None:
+        hit = hit.join(matching.select("doc_id"), "doc_id", "left_semi")
+    counted = frequencies.where(F.col("term").isin(list(times))).groupBy("term").agg(F.count("*").alias("df"))
+    named = F.create_map(*[F.lit(x) for pair in times.items() for x in pair]) if times else F.create_map().cast("map<string,int>")
+    joined = hit.join(F.broadcast(counted), "term").crossJoin(F.broadcast(stats))  # a row a query word, and one row
+    score = named[F.col("term")] * bm25(F.col("tf"), F.col("avg_doc_len"), F.col("avg_doc_len"), F.col("total_docs"), F.col("df"))
+    return joined.groupBy("doc_id").agg(F.sum(score).alias("score"))
 
 
 def scatter_gather(docs: DataFrame, query: str, limit: int, shard: str, subject: str = "", policy: AccessPolicy | None = None, remote: DataFrame | None = None) -> DataFrame:
@@ -130,7 +145,7 @@ def scatter_gather(docs: DataFrame, query: str, limit: int, shard: str, subject:
         policy.log_audit(subject, "search", allowed)
         if not allowed:
             raise PermissionError("security policy validation failure: search access denied")
-    hits = scored(docs, query, corpus_stats(docs, shard), shard)
+    hits = scored(docs, query, shard)
     if limit > 0:
         best = Window.partitionBy(shard).orderBy(F.desc("score"), F.asc("doc_id"))
         hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

@@ -268,6 +268,13 @@ def bm25_topk(spark, sf_dir):
     return _rounded(search.search(docs_of(spark, sf_dir), "that was", 10))
 
 
+@query(_ranked("s.avgdl", f"{THAT} AND {WAS}", ["that", "was"], 10))
+def bm25_index_topk(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    matching = search.matching_in_one_pass(index.postings(docs), "that was")
+    return _rounded(search.top(search.score_postings(index.term_frequencies(docs), index.corpus_stats(docs), "that was", matching), 10))
+
+
 @query(_ranked("dl.dl", f"{THAT} AND {WAS}", ["that", "was"], 10))
 def bm25_length_norm_topk(spark, sf_dir):
     return _rounded(search.search(docs_of(spark, sf_dir), "that was", 10, length_norm=True))

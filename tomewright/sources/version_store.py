@@ -15,7 +15,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,10 @@ LOG = "key string, txn_id bigint, seq bigint, value string, expires_at timestamp
 CONFLICT = "OCC SERIALIZATION ISOLATION FAILURE: Write conflict detected on key {}"
 
 
+def utc_now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 class KeyNotFound(KeyError):
     """No live version of a key is visible."""
 
@@ -65,7 +69,7 @@ class KeyValueStore(Protocol):
 class VersionStore:
     spark: SparkSession
     root: str
-    clock: object = datetime.utcnow
+    clock: Callable[[], datetime] = utc_now
     locks: LockManager | None = None
     active: set[int] = field(default_factory=set)
     _mutex: threading.RLock = field(default_factory=threading.RLock)

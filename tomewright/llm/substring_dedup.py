@@ -233,5 +233,18 @@ def repeated_spans(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
             yield spans_of(held)
 
     runs = _picked(docs).join(wanted, ["doc_id", "version"]).select("doc_id", "text", "at", "path", "step").mapInPandas(candidates, "bucket int, segment long, hashes binary, docs binary, at binary")
-    kept = runs.repartition(parts, "bucket").mapInPandas(confirm, "segment long, docs binary, at binary")
+    kept = runs.repartitionById(parts, "bucket").mapInPandas(confirm, "segment long, docs binary, at binary")
     return kept.repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(spans, "doc_id long, start long, end long, n_words long").distinct()
+
+
+def oracle(least_words: int = 50) -> str:
+    """The same spans as DuckDB SQL over the view documents: every run of words, written out."""
+    n = least_words
+    return rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+r AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + {n}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - {n - 1})) AS i FROM t)),
+k AS (SELECT h FROM r GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+p AS (SELECT DISTINCT doc_id, i FROM r WHERE h IN (SELECT h FROM k)),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {n} THEN 0 ELSE 1 END AS fresh FROM p),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s)
+SELECT doc_id, min(i) AS start, max(i) + {n} AS "end", max(i) + {n} - min(i) AS n_words FROM g GROUP BY doc_id, span"""

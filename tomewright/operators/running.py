@@ -2,7 +2,8 @@
 
 The order is cut into parts by a column that never falls along it. Sums and gaps are
 taken within (keys, part); what a part adds to the next ones comes from one row a part.
-Rows are shuffled once, on (keys, part): both steps use the same exchange.
+Rows are shuffled once, on (keys, part): both steps use the same exchange (the joins are
+left joins as an inner one would filter nulls on one side only, and so part the two).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def running_sums(rows: DataFrame, order: str, part: Column, keys: list[str], **s
     outer = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = cut.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     bases = totals.select(*keys, "_part", *[(F.sum(f"_{n}").over(outer) - F.col(f"_{n}")).alias(f"_{n}") for n in sums])
-    return cut.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}).join(bases, [*keys, "_part"]).withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums])
+    return cut.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}).join(bases, [*keys, "_part"], "left").withColumns({n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in sums}).drop("_part", *[f"_{n}" for n in sums])
 
 
 def previous(rows: DataFrame, column: str, part: Column, keys: list[str], name: str) -> DataFrame:
@@ -32,4 +33,4 @@ def previous(rows: DataFrame, column: str, part: Column, keys: list[str], name:
     outer = Window.partitionBy(*keys).orderBy("_part")
     ends = cut.groupBy(*keys, "_part").agg(F.max(column).alias("_last"))
     bases = ends.select(*keys, "_part", F.lag("_last").over(outer).alias("_before"))
-    return cut.withColumn(name, F.lag(column).over(inner)).join(bases, [*keys, "_part"]).withColumn(name, F.coalesce(name, "_before")).drop("_part", "_before")
+    return cut.withColumn(name, F.lag(column).over(inner)).join(bases, [*keys, "_part"], "left").withColumn(name, F.coalesce(name, "_before")).drop("_part", "_before")

@@ -43,8 +43,9 @@ def remote_hits(spark: SparkSession, transport: Transport, query: str, limit: in
 
 def scan_condition(query: Query, text: str = "text") -> Column:
     """The query as a condition on the text column: one pass, no join."""
-    tokens = ascii_tokens(text)
-    return F.coalesce(query.column(lambda w: F.array_contains(tokens, w)), F.lit(False))
+    # the lambda's variable holds the tokens, so that a text is split once and not once a word
+    held = F.transform(F.array(ascii_tokens(text)), lambda tokens: query.column(lambda w: F.array_contains(tokens, w)))
+    return F.coalesce(F.get(held, 0), F.lit(False))
 
 
 def matching_by_scan(docs: DataFrame, query: Query | str) -> DataFrame:

@@ -77,6 +77,25 @@ def test_near_matches(spark, make_docs, pass_words):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(1, 1, "near")}
 
 
+def pairs_of(docs, items, p):
+    """(doc, item) of the matches in one segment of documents and items given as lists of numbers."""
+    g = C.Segment.build(list(range(len(docs))), [np.array(d, np.uint64) for d in docs])
+    freq = {w: sum(d.count(w) for d in docs) for w in {w for x in items for w in x}}
+    t = C.make_tests([(i, np.array(x, np.uint64)) for i, x in enumerate(items)], freq, p)
+    return {(m[0], m[1]) for m in C.search(g, t, p)}
+
+
+@pytest.mark.parametrize("size", [13, 14, 15])
+@pytest.mark.parametrize("edited", [0, 6, 12])
+def test_near_matches_beside_a_phrase_of_another_document(size, edited):
+    item = list(range(size))
+    copy = [99 if w == edited else w for w in item]
+    far = list(range(200, 230))
+    assert pairs_of([item, copy, far], [item], C.DecontaminationParams()) == {(0, 0), (1, 0)}
+    assert pairs_of([copy, item, far], [item], C.DecontaminationParams()) == {(0, 0), (1, 0)}
+    assert pairs_of([far + item, copy + far], [item], C.DecontaminationParams()) == {(0, 0), (1, 0)}
+
+
 def test_empty_tables(spark, make_docs, no_docs, odd_docs):
     none = spark.createDataFrame([], BENCH)
     one = spark.createDataFrame([(1, prose(5, 30), "")], BENCH)

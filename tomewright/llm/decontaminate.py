@@ -8,7 +8,8 @@ dictionaries, then works in each segment alone: the positions of the rarest term
 a window of words, less its offset, are intersected with those of the next rarest
 term, and so on. What is left are exact phrases. Proximity matches let each term be
 `slack` words off its place and ask that the terms found carry `near_share` of the
-window's inverse-frequency weight.
+window's inverse-frequency weight. A near window that starts less than window + slack
+words from an exact phrase of its item in the same document is not reported again.
 
 Benchmark arrays are broadcast in passes of at most `pass_words` words each, so the
 size of a broadcast does not depend on the benchmark's.
@@ -190,11 +191,15 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
         missing[alive] += np.where(hit, 0, t.weight[word])
         alive = alive[missing[alive] <= (1 - p.near_share) * full[w]]
     windows, at = windows[alive], at[alive]
-    # windows that lie on a phrase of their item are reported already
+    # windows that lie on a phrase of their item are reported already, if it is the same document's
     place_of = (t.item[windows] << 40) + at
     i = np.searchsorted(phrases, place_of)
-    reach = p.window + p.slack
-    free = (np.abs(phrases[np.minimum(i, len(phrases) - 1)] - place_of) >= reach) & (np.abs(phrases[np.maximum(i - 1, 0)] - place_of) >= reach) if len(phrases) else np.ones(len(windows), bool)
+    doc = np.searchsorted(g.bounds, at, "right") - 1
+    free = np.ones(len(windows), bool)
+    if len(phrases):
+        for next_to in (phrases[np.minimum(i, len(phrases) - 1)], phrases[np.maximum(i - 1, 0)]):
+            same = np.searchsorted(g.bounds, next_to & ((1 << 40) - 1), "right") - 1 == doc
+            free &= ~same | (np.abs(next_to - place_of) >= p.window + p.slack)
     return out + _spans(g, t, windows[free], at[free], "near")
 
 

@@ -96,6 +96,31 @@ def test_near_matches_beside_a_phrase_of_another_document(size, edited):
     assert pairs_of([far + item, copy + far], [item], C.DecontaminationParams()) == {(0, 0), (1, 0)}
 
 
+@pytest.mark.parametrize("passage", [list(range(1, 13)), [0, *range(2, 13)], list(range(12))])
+@pytest.mark.parametrize("lead", [[], [300, 301], list(range(300, 330))])
+@pytest.mark.parametrize("before", [[], [[500]], [list(range(400, 440))]])
+def test_cut_passages_anywhere(passage, lead, before):
+    """The first or last words of an item may be missing wherever the passage lies in its document, and beside whatever document."""
+    p = C.DecontaminationParams()
+    item, tail = list(range(13)), list(range(600, 620))
+    at = len(before)
+    for end in ([], [700, 701], tail):
+        assert pairs_of([*before, lead + passage + end, tail], [item], p) == {(at, 0)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 8), max_size=12), min_size=1, max_size=5), st.lists(st.lists(st.integers(0, 8), min_size=3, max_size=8), min_size=1, max_size=3))
+def test_neighbours_make_no_difference(docs, items):
+    p = C.DecontaminationParams(window=5, least_words=3, slack=1, near_share=0.6)
+    items = [(i, np.array(x, np.uint64)) for i, x in enumerate(items)]
+    t = C.make_tests(items, {w: sum(d.count(w) for d in docs) for w in range(9)}, p)
+    build = lambda d: C.Segment.build([k for k, _ in d], [np.array(x, np.uint64) for _, x in d])
+    together = C.search(build(list(enumerate(docs))), t, p)
+    alone = [m for k, d in enumerate(docs) for m in C.search(build([(k, d)]), t, p)]
+    assert {m[:3] for m in together} == {m[:3] for m in alone}
+    assert all(0 <= m[5] < m[6] <= len(docs[m[0]]) for m in together)
+
+
 def test_empty_tables(spark, make_docs, no_docs, odd_docs):
     none = spark.createDataFrame([], BENCH)
     one = spark.createDataFrame([(1, prose(5, 30), "")], BENCH)

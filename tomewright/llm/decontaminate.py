@@ -142,23 +142,25 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
     keys = (np.repeat(np.arange(len(g.terms), dtype=np.uint64), np.diff(g.starts)) << np.uint64(32)) | g.positions.astype(np.uint64)
     key = lambda word, at: (place[word].astype(np.uint64) << np.uint64(32)) | np.clip(at, 0, 2**32 - 1).astype(np.uint64)
 
-    def occurrences(windows: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and the positions at which they would start, by their word of this rank."""
+    document = lambda at: np.searchsorted(g.bounds, at, "right") - 1
+
+    def occurrences(windows: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, the positions at which they would start by their word of this rank, and the documents that hold the word."""
         offset = t.ranked[windows, rank]
         word = t.start[windows] + offset
         n = np.where(known[word], g.starts[place[word] + 1] - g.starts[place[word]], 0)
         from_ = np.repeat(g.starts[place[word]], n)
         at = g.positions[from_ + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
-        return np.repeat(windows, n), at - np.repeat(offset, n)
+        return np.repeat(windows, n), at - np.repeat(offset, n), document(at)
 
     def whole(windows: np.ndarray, at: np.ndarray) -> np.ndarray:
         """True where the window at this position lies in one document."""
         ok = (at >= 0) & (at + t.width[windows] <= g.bounds[-1])
-        doc = np.searchsorted(g.bounds, np.where(ok, at, 0), "right") - 1
+        doc = document(np.where(ok, at, 0))
         return ok & (at + t.width[windows] <= g.bounds[np.minimum(doc + 1, len(g.bounds) - 1)])
 
     everything = np.arange(len(t.start))
-    windows, at = occurrences(everything, 0)
+    windows, at, _ = occurrences(everything, 0)
     ok = whole(windows, at)
     windows, at = windows[ok], at[ok]
     for rank in range(1, p.window):
@@ -167,13 +169,12 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
         k = key(word, at + offset)
         ok = (offset < 0) | (known[word] & (keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k))
         windows, at = windows[ok], at[ok]
-    out = _spans(g, t, windows, at, "phrase")
+    out = _spans(g, t, windows, at, document(at), "phrase")
     phrases = np.sort((t.item[windows] << 40) + at)
 
     tried = [occurrences(everything, rank) for rank in (0, 1)]
-    windows, at = (np.concatenate(x) for x in zip(*tried, strict=True))
-    at = np.clip(at, 0, max(int(g.bounds[-1]) - 1, 0))
-    doc = np.searchsorted(g.bounds, at, "right") - 1
+    # a window may begin before its document or end after it; what lies outside is missing
+    windows, at, doc = (np.concatenate(x) for x in zip(*tried, strict=True))
     low, high = g.bounds[doc], g.bounds[doc + 1]
     full = np.zeros(len(t.start))
     for rank in range(p.window):
@@ -190,27 +191,25 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
         hit = (offset < 0) | (known[word] & (last >= first) & (keys[np.minimum(i, len(keys) - 1)] <= key(word, last)) & (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] >= key(word, first)))
         missing[alive] += np.where(hit, 0, t.weight[word])
         alive = alive[missing[alive] <= (1 - p.near_share) * full[w]]
-    windows, at = windows[alive], at[alive]
+    windows, at, doc = windows[alive], at[alive], doc[alive]
     # windows that lie on a phrase of their item are reported already, if it is the same document's
     place_of = (t.item[windows] << 40) + at
     i = np.searchsorted(phrases, place_of)
-    doc = np.searchsorted(g.bounds, at, "right") - 1
     free = np.ones(len(windows), bool)
     if len(phrases):
         for next_to in (phrases[np.minimum(i, len(phrases) - 1)], phrases[np.maximum(i - 1, 0)]):
-            same = np.searchsorted(g.bounds, next_to & ((1 << 40) - 1), "right") - 1 == doc
+            same = document(next_to & ((1 << 40) - 1)) == doc
             free &= ~same | (np.abs(next_to - place_of) >= p.window + p.slack)
-    return out + _spans(g, t, windows[free], at[free], "near")
+    return out + _spans(g, t, windows[free], at[free], doc[free], "near")
 
 
-def _spans(g: Segment, t: Tests, windows: np.ndarray, at: np.ndarray, kind: str) -> list[tuple]:
+def _spans(g: Segment, t: Tests, windows: np.ndarray, at: np.ndarray, doc: np.ndarray, kind: str) -> list[tuple]:
     """Merges windows of one item that touch in a document: on the same line for phrases, wherever they meet for near matches."""
     if not len(windows):
         return []
     item, inside = t.item[windows], t.start[windows] - t.offsets[t.item[windows]]
     width = t.width[windows]
-    doc = np.searchsorted(g.bounds, at, "right") - 1
-    begin, end = at - g.bounds[doc], np.minimum(at + width, g.bounds[doc + 1]) - g.bounds[doc]
+    begin, end = np.maximum(at - g.bounds[doc], 0), np.minimum(at + width, g.bounds[doc + 1]) - g.bounds[doc]
     line = at - inside if kind == "phrase" else np.zeros(len(at), np.int64)
     order = np.lexsort((begin, line, item, doc))
     item, inside, width, doc, begin, end, line = (x[order] for x in (item, inside, width, doc, begin, end, line))

@@ -121,6 +121,30 @@ def test_neighbours_make_no_difference(docs, items):
     assert all(0 <= m[5] < m[6] <= len(docs[m[0]]) for m in together)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 11), max_size=14), min_size=1, max_size=4), st.lists(st.lists(st.integers(0, 11), min_size=3, max_size=9), min_size=1, max_size=3), st.sampled_from([(6, 1, 0.53), (6, 2, 0.61), (4, 0, 0.71), (9, 3, 0.83)]))
+def test_near_matches_against_brute_force(docs, items, setting):
+    """Every place of every window in every document is tried; the words found there must weigh enough."""
+    p = C.DecontaminationParams(window=setting[0], least_words=3, slack=setting[1], near_share=setting[2])
+    t = C.make_tests([(i, np.array(x, np.uint64)) for i, x in enumerate(items)], {w: sum(d.count(w) for d in docs) for w in {w for x in items for w in x}}, p)
+    expected = set()
+    for s, n, k, ranked in zip(t.start.tolist(), t.width.tolist(), t.item.tolist(), t.ranked.tolist(), strict=True):
+        limit = (1 - p.near_share) * sum((t.weight[s + o] for o in ranked[:n]), 0.0)
+        for d, doc in enumerate(docs):
+            for at in range(-n - p.slack, len(doc) + p.slack):
+                missing = sum((t.weight[s + o] for o in ranked[:n] if int(t.words[s + o]) not in doc[max(0, at + o - p.slack) : max(0, at + o + p.slack + 1)]), 0.0)
+                if missing <= limit:
+                    expected.add((d, int(t.items[k])))
+    assert pairs_of(docs, items, p) == expected
+
+
+def test_two_rarest_words_altered():
+    item = list(range(13))
+    for a, b in ((0, 1), (3, 9), (11, 12)):
+        copy = [99 if w in (a, b) else w for w in item]
+        assert pairs_of([list(range(200, 230)), copy, item[2:]], [item], C.DecontaminationParams()) == {(1, 0), (2, 0)}
+
+
 def test_empty_tables(spark, make_docs, no_docs, odd_docs):
     none = spark.createDataFrame([], BENCH)
     one = spark.createDataFrame([(1, prose(5, 30), "")], BENCH)

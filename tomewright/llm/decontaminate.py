@@ -8,7 +8,8 @@ dictionaries, then works in each segment alone: the positions of the rarest term
 a window of words, less its offset, are intersected with those of the next rarest
 term, and so on. What is left are exact phrases. Proximity matches let each term be
 `slack` words off its place and ask that the terms found carry `near_share` of the
-window's inverse-frequency weight. A near window that starts less than window + slack
+window's inverse-frequency weight; they are sought from as many of the rarest words
+as weigh more than may be missing, so none is lost. A near window that starts less than window + slack
 words from an exact phrase of its item in the same document is not reported again.
 
 Benchmark arrays are broadcast in passes of at most `pass_words` words each, so the
@@ -100,7 +101,7 @@ class Segment:
 @dataclass
 class Tests:
     """Benchmark windows. words: word hashes of all items in a row; start, width, item: of each window;
-    ranked: offsets in each window from the rarest word on; weight: of each word."""
+    ranked: offsets in each window from the rarest word on; weight: of each word; full: weight of each window, summed in the order of ranked."""
 
     items: np.ndarray
     offsets: np.ndarray
@@ -110,6 +111,7 @@ class Tests:
     width: np.ndarray
     item: np.ndarray
     ranked: np.ndarray
+    full: np.ndarray
 
 
 def make_tests(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], p: DecontaminationParams) -> Tests:
@@ -130,7 +132,10 @@ def make_tests(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], p
     ranked = np.full((len(start), p.window), -1, np.int64)
     for k, (s, n) in enumerate(zip(start, width, strict=True)):
         ranked[k, :n] = np.argsort(count[s : s + n], kind="stable")
-    return Tests(np.array([i for i, _ in items], np.int64), offsets, words, weight, start, width, item, ranked)
+    full = np.zeros(len(start))
+    for rank in range(p.window):
+        full += np.where(ranked[:, rank] >= 0, weight[start + np.maximum(ranked[:, rank], 0)], 0) if len(start) else 0
+    return Tests(np.array([i for i, _ in items], np.int64), offsets, words, weight, start, width, item, ranked, full)
 
 
 def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
@@ -172,26 +177,39 @@ def search(g: Segment, t: Tests, p: DecontaminationParams) -> list[tuple]:
     out = _spans(g, t, windows, at, document(at), "phrase")
     phrases = np.sort((t.item[windows] << 40) + at)
 
-    tried = [occurrences(everything, rank) for rank in (0, 1)]
+    tried, before = [], np.zeros(len(t.start))
+    for rank in range(p.window):
+        # the rarest words that weigh more than may be missing: a match has one of them
+        tried.append(occurrences(everything[(t.ranked[:, rank] >= 0) & (before <= (1 - p.near_share) * t.full)], rank))
+        before += np.where(t.ranked[:, rank] >= 0, t.weight[t.start + np.maximum(t.ranked[:, rank], 0)], 0)
     # a window may begin before its document or end after it; what lies outside is missing
     windows, at, doc = (np.concatenate(x) for x in zip(*tried, strict=True))
-    low, high = g.bounds[doc], g.bounds[doc + 1]
-    full = np.zeros(len(t.start))
-    for rank in range(p.window):
-        offset = t.ranked[:, rank]
-        full += np.where(offset >= 0, t.weight[t.start + np.maximum(offset, 0)], 0)
-    missing, alive = np.zeros(len(windows)), np.arange(len(windows))
-    for rank in range(p.window):
-        w, a = windows[alive], at[alive]
-        offset = t.ranked[w, rank]
-        word = t.start[w] + np.maximum(offset, 0)
-        first = np.maximum(a + offset - p.slack, low[alive])
-        last = np.minimum(a + offset + p.slack, high[alive] - 1)
-        i = np.searchsorted(keys, key(word, first))
-        hit = (offset < 0) | (known[word] & (last >= first) & (keys[np.minimum(i, len(keys) - 1)] <= key(word, last)) & (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] >= key(word, first)))
-        missing[alive] += np.where(hit, 0, t.weight[word])
-        alive = alive[missing[alive] <= (1 - p.near_share) * full[w]]
-    windows, at, doc = windows[alive], at[alive], doc[alive]
+
+    def near(windows: np.ndarray, at: np.ndarray, doc: np.ndarray, slack: int) -> np.ndarray:
+        """The places in these arrays where enough of the window's words are at most `slack` words off."""
+        low, high = g.bounds[doc], g.bounds[doc + 1]
+        missing, alive = np.zeros(len(windows)), np.arange(len(windows))
+        for rank in range(p.window):
+            w, a = windows[alive], at[alive]
+            offset = t.ranked[w, rank]
+            word = t.start[w] + np.maximum(offset, 0)
+            first = np.maximum(a + offset - slack, low[alive])
+            last = np.minimum(a + offset + slack, high[alive] - 1)
+            i = np.searchsorted(keys, key(word, first))
+            hit = (offset < 0) | (known[word] & (last >= first) & (keys[np.minimum(i, len(keys) - 1)] <= key(word, last)) & (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] >= key(word, first)))
+            missing[alive] += np.where(hit, 0, t.weight[word])
+            alive = alive[missing[alive] <= (1 - p.near_share) * t.full[w]]
+        return alive
+
+    # the word that was found may itself be off its place: where the window doesn't match there, the places around are tried
+    wide = near(windows, at, doc, 2 * p.slack)
+    windows, at, doc = windows[wide], at[wide], doc[wide]
+    found, left = [], np.arange(len(windows))
+    for shift in sorted(range(-p.slack, p.slack + 1), key=abs):
+        hit = near(windows[left], at[left] + shift, doc[left], p.slack)
+        found.append((windows[left[hit]], at[left[hit]] + shift, doc[left[hit]]))
+        left = np.delete(left, hit)
+    windows, at, doc = (np.concatenate(x) for x in zip(*found, strict=True))
     # windows that lie on a phrase of their item are reported already, if it is the same document's
     place_of = (t.item[windows] << 40) + at
     i = np.searchsorted(phrases, place_of)

@@ -82,3 +82,14 @@ def check(docs, rows, p):
         if d["text"]:
             expected[d["doc_id"]] += n + 1
     assert {d: sum(b - a for a, b in x) for d, x in parts.items()} == dict(expected)
+
+
+def test_windows_hold_the_tokens(make_docs):
+    """The rows alone give every window's tokens, and the pieces of a document together its text's."""
+    docs = make_docs([(i, prose(i, 5 + i * 37 % 300)) for i in range(60)] + [(100, None), (101, ""), (None, "no id")]).repartition(3)
+    for p in (P.PackingParams(), P.PackingParams(window=64, open_windows=3, merge_group=2), P.PackingParams(window=64, frame_tokens=100)):
+        rows = P.pack_documents(docs, p).collect()
+        assert all(len(r["tokens"]) == r["doc_to"] - r["doc_from"] for r in rows)
+        for d in docs.collect():
+            own = [x for r in sorted((r for r in rows if r["doc_id"] == d["doc_id"]), key=lambda r: r["doc_from"]) for x in r["tokens"]]
+            assert own == ([*encode(d["text"], p.tokenizer).tolist(), p.tokenizer.separator] if d["text"] else [])

@@ -6,12 +6,13 @@ that it fills best. If it fits none, the fullest open window is emitted and a ne
 one is opened. At the end of a partition the windows that are still open are
 leftovers; they are merged across partitions by best fit in order of falling size,
 in as many groups as there are `merge_group` leftovers. Only this last step
-shuffles, and it moves one row a leftover window, not documents.
+shuffles, and it moves the leftover windows only, `open_windows` a partition at most.
 
 Defined results: null or empty text has no tokens and no row; a document longer
 than a window spans several windows; repeated rows are packed each; a null doc_id
 is packed as null; an empty table gives no rows; other columns are not touched.
-The tokens [doc_from, doc_to) of a document lie at `at` of window `window_id`.
+The tokens [doc_from, doc_to) of a document lie at `at` of window `window_id`; each
+row holds them, and a window is its rows' tokens in the order of `at`.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .store import materialize
 from .tokenizer import TokenizerParams, encode_list
 
-ROWS = "window_id long, doc_id long, doc_from long, doc_to long, at int, is_open boolean"
+ROWS = "window_id long, doc_id long, doc_from long, doc_to long, at int, tokens array<int>, is_open boolean"
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class PackingParams:
     window: int = 2048
     open_windows: int = 64
     merge_group: int = 200_000
+    frame_tokens: int = 4_000_000
     tokenizer: TokenizerParams = TokenizerParams()
 
 
@@ -75,10 +78,10 @@ class OpenWindows:
         return self.next_id - 1
 
 
-def token_counts(texts: list[str | None], p: TokenizerParams) -> Iterator[int]:
-    """Tokens and separator of each text; 0 for null or empty text."""
+def token_ids(texts: list[str | None], p: TokenizerParams) -> Iterator[np.ndarray]:
+    """Tokens and separator of each text; nothing for null or empty text."""
     for t in texts:
-        yield len(encode_list(t, p)) + 1 if t else 0
+        yield np.array([*encode_list(t, p), p.separator] if t else [], np.int32)
 
 
 def merge_leftovers(fills: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
@@ -95,10 +98,10 @@ def merge_leftovers(fills: list[tuple[int, int]], size: int) -> list[tuple[int,
 
 
 def pack_documents(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
-    """window_id, doc_id, doc_from, doc_to, at: where the tokens of every document go."""
+    """window_id, doc_id, doc_from, doc_to, at, tokens: where the tokens of every document go, and the tokens."""
 
     def frame(rows: list[tuple], is_open: bool) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["window_id", "doc_id", "doc_from", "doc_to", "at"])
+        out = pd.DataFrame(rows, columns=["window_id", "doc_id", "doc_from", "doc_to", "at", "tokens"])
         out["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in out["doc_id"]], "Int64")
         return out.assign(is_open=is_open)
 
@@ -106,10 +109,19 @@ def pack_documents(docs: DataFrame, p: PackingParams = PackingParams()) -> DataF
         windows = OpenWindows(p.window, p.open_windows, TaskContext.get().partitionId() << 40)
         for pdf in batches:
             rows: list[tuple] = []
-            for doc, n in zip(pdf["doc_id"].astype("Int64"), token_counts(pdf["text"].tolist(), p.tokenizer), strict=True):
-                rows += windows.add(None if doc is pd.NA else int(doc), n) if n else ()
+            size = 0
+            for doc, ids in zip(pdf["doc_id"].astype("Int64"), token_ids(pdf["text"].tolist(), p.tokenizer), strict=True):
+                whole = len(ids) // p.window * p.window
+                # an open window keeps the document's rest only
+                own = (None if doc is pd.NA else int(doc), ids[whole:].copy())
+                for window, (d, rest), a, b, at in windows.add(own, len(ids)) if len(ids) else ():
+                    rows.append((window, d, a, b, at, ids[a:b] if rest is own[1] and a < whole else rest))
+                    size += b - a
+                if size > p.frame_tokens:
+                    yield frame(rows, False)
+                    rows, size = [], 0
             yield frame(rows, False)
-        yield frame(windows.left(), True)
+        yield frame([(window, d, a, b, at, rest) for window, (d, rest), a, b, at in windows.left()], True)
 
     def merge(batches):
         fills = [x for pdf in batches for x in zip(pdf["window_id"].tolist(), pdf["fill"].tolist(), strict=True)]
@@ -120,5 +132,5 @@ def pack_documents(docs: DataFrame, p: PackingParams = PackingParams()) -> DataF
     fills = left.groupBy("window_id").agg(F.max(F.col("at") + F.col("doc_to") - F.col("doc_from")).cast("int").alias("fill"))
     groups = -(-max(1, left.select("window_id").distinct().count()) // p.merge_group)
     targets = fills.repartition(groups, "window_id").mapInPandas(merge, "window_id long, target long, shift int")
-    moved = left.join(targets, "window_id").select(F.col("target").alias("window_id"), "doc_id", "doc_from", "doc_to", (F.col("at") + F.col("shift")).alias("at"))
+    moved = left.join(targets, "window_id").select(F.col("target").alias("window_id"), "doc_id", "doc_from", "doc_to", (F.col("at") + F.col("shift")).alias("at"), "tokens")
     return pieces.where("NOT is_open").drop("is_open").unionByName(moved)

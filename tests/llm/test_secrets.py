@@ -43,6 +43,13 @@ def test_candidates_do_not_overlap():
     assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:], strict=False))
 
 
+def test_a_secret_inside_a_rejected_candidate_is_found(model):
+    text = f"-----BEGIN PRIVATE KEY----- goes here token = {TOKEN} and so on"
+    strict = S.SecretModel(model.params, model.weights, model.scale, model.thresholds | {"key_block": 1.1})
+    assert [text[a:b] for a, b, *_ in S.find([text], strict)[0]] == [TOKEN]
+    assert [c[2] for c in S.candidates(text)] == ["key_block"]
+
+
 def test_long_candidates_are_read_whole():
     p = S.SecretParams()
     text = "a1" * 400

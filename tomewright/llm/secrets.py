@@ -8,8 +8,8 @@ windows and its highest score counts, so no part of it goes unread. Scores are
 calibrated on held-out findings, and the threshold of each kind is the highest
 one at which at least `recall` of the held-out secrets of that kind are kept.
 
-Defined results: null or empty text has no candidates; overlapping candidates
-count once, as the longest; equal texts in repeated rows give equal findings, one
+Defined results: null or empty text has no candidates; all candidates are
+scored, and of accepted ones that overlap the longest counts; equal texts in repeated rows give equal findings, one
 set a row; findings carry a SHA-256 of the secret and never the secret; a null
 doc_id stays null; other columns are not touched.
 """
@@ -72,24 +72,33 @@ class SecretModel:
     thresholds: dict[str, float] = field(default_factory=dict)
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in characters, in order, without overlaps; longer ones win, then earlier kinds."""
+def proposals(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in characters of all that the patterns match; they may overlap."""
     found = []
     for kind, pattern in _PATTERNS.items():
         group = 1 if pattern.groups else 0
         found += [(*m.span(group), kind) for m in pattern.finditer(text)]
-    found.sort(key=lambda x: (x[0] - x[1], KINDS.index(x[2]), x[0]))
-    kept: list[tuple[int, int, str]] = []
+    return found
+
+
+def apart(found: list[tuple], size: int) -> list[tuple]:
+    """Those of found (start, end, kind, ...) in a text of this size that stay, in order, without overlaps; longer ones win, then earlier kinds."""
     if len(found) < 2:
         return found
-    taken = np.zeros(len(text) + 1, bool)
-    for a, b, kind in found:
-        if not taken[a:b].any():
-            taken[a:b] = True
-            kept.append((a, b, kind))
+    kept: list[tuple] = []
+    taken = np.zeros(size + 1, bool)
+    for x in sorted(found, key=lambda x: (x[0] - x[1], KINDS.index(x[2]), x[0])):
+        if not taken[x[0] : x[1]].any():
+            taken[x[0] : x[1]] = True
+            kept.append(x)
     return sorted(kept)
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in characters, in order, without overlaps; longer ones win, then earlier kinds."""
+    return apart(proposals(text), len(text))
+
+
 def windows(text: str, start: int, end: int, p: SecretParams) -> list[np.ndarray]:
     """Character codes of each window: context before, candidate, context after, each padded with 0."""
     step, out = p.inside - 8, []
@@ -279,14 +288,14 @@ def default_model(p: SecretParams = SecretParams(), store: dict = {}) -> SecretM
 
 def find(texts: list[str | None], m: SecretModel) -> list[list[tuple[int, int, str, float]]]:
     """Accepted findings (start, end, kind, probability) of each text."""
-    found = [(i, *c) for i, t in enumerate(texts) for c in candidates(t or "")]
+    found = [(i, *c) for i, t in enumerate(texts) for c in proposals(t or "")]
     raw = _scores([(texts[i], a, b) for i, a, b, _ in found], m.weights, m.params)
     prob = 1 / (1 + np.exp(-np.clip(m.scale[0] * raw + m.scale[1], -30, 30)))
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     for (i, a, b, kind), q in zip(found, prob, strict=True):
         if q >= m.thresholds[kind]:
             out[i].append((a, b, kind, float(q)))
-    return out
+    return [apart(own, len(t or "")) for t, own in zip(texts, out, strict=True)]
 
 
 def may_hold(text: Column) -> Column:

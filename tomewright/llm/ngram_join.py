@@ -8,18 +8,27 @@
    they share a bucket with, cut into parts of `block` classes where it has more), and
    a bucket goes to the tile of each pair of blocks in it. A tile loads the full set of
    each of its classes once, marks the candidate pairs of all its buckets and
-   verifies each pair once. So a group of thousands of near copies costs one load a
-   tile and not one a pair, and no bucket is cut short.
-4. Pairs of classes spread to pairs of documents.
+   verifies each pair once; a pair has one tile. So a group of thousands of near copies
+   costs one load a tile and not one a pair, and no bucket is cut short.
+4. A tile gives the number of links of each of its classes and a forest that joins
+   what is linked, so what leaves it grows with the classes and not with the pairs.
 
 Classes are named by a 64-bit hash of their set; two different sets share one with
 probability 2**-64 a pair.
 
-Defined results: null, empty and wordless texts have no n-grams and no pairs; a text
-of fewer than n words has one n-gram, all of its words; equal texts have similarity 1;
-rows with the same doc_id are one document for pairing (never paired with itself); a
-null doc_id takes no part (and `keep_one` keeps the row); other columns are not
-touched. Pairs have doc_a < doc_b and come once.
+Results: `linked` gives one row a document that has links (its group and the number of
+its links); `keep_one` filters documents; `similar_pairs` lists all pairs.
+
+Defined results: null, empty and wordless texts have no n-grams and no links, and
+`keep_one` keeps their rows; a text of fewer than n words has one n-gram, all of its
+words; equal texts have similarity 1; repeated rows are one document; rows with one
+doc_id and different n-gram sets are documents of their own, which may be linked with
+each other and lie in different groups; a null doc_id takes no part in `linked` and
+`similar_pairs`, while `keep_one` judges its row by the text, after all others of its
+group. Of a group `keep_one` keeps one row, that of the smallest doc_id, then of the
+smallest hash of the text, then of the smallest hash of the other columns. Other columns
+are not touched, whatever their names; an empty table gives an empty result. Pairs have
+doc_a < doc_b and come once.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import free_name, materialize
 from .text import Words, chunks, gram_hashes, mix, signed
 
 
@@ -93,20 +102,21 @@ def _sets(texts: list[str | None], n: int):
 
 
 def _picked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version")).where("text IS NOT NULL")
 
 
 def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """doc_id, class and bands of every document with words."""
+    """doc_id, version (hash of the text), class and bands of every row with words."""
     bands, rows = choose_bands(p)
     factors = np.random.default_rng(p.seed).integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches):
         for pdf in batches:
-            out = [(pdf["doc_id"].iat[i], np.int64(np.uint64(set_name(g)).view(np.int64)), signed(band_hashes(g, factors, bands, rows))) for i, g in _sets(pdf["text"].tolist(), p.n)]
-            yield pd.DataFrame(out, columns=["doc_id", "class", "bands"])
+            ids = pdf["doc_id"].astype("Int64")
+            out = [(ids.iat[i], pdf["version"].iat[i], np.int64(np.uint64(set_name(g)).view(np.int64)), signed(band_hashes(g, factors, bands, rows))) for i, g in _sets(pdf["text"].tolist(), p.n)]
+            yield pd.DataFrame(out, columns=["doc_id", "version", "class", "bands"]).astype({"doc_id": "Int64"})
 
-    return _picked(docs).mapInPandas(run, "doc_id long, class long, bands array<long>")
+    return _picked(docs).mapInPandas(run, "doc_id long, version long, class long, bands array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -135,7 +145,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _tiles(in_bucket: DataFrame, p: JoinParams) -> DataFrame:
-    """tile, members: the classes of a bucket that lie in the two blocks of a tile."""
+    """tile, members, cut: the classes of a bucket that lie in the two blocks of a tile, first `cut` of the one and then those
+    of the other (0: a tile of one block). Pairs within a block belong to the tile of that block alone."""
     home = in_bucket.groupBy("class").agg(F.min("least").alias("label"))
     sizes = home.groupBy("label").agg(F.count("*").alias("size"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / p.block))
@@ -163,37 +174,54 @@ def _tiles(in_bucket: DataFrame, p: JoinParams) -> DataFrame:
                         continue
                     ends = mix(np.array([block[cut[x]], block[cut[y]]], np.int64).view(np.uint64))
                     tile = int(signed(mix(ends[:1] + mix(ends[1:])))[0])
-                    if (tile, members.tobytes()) not in seen:
-                        seen.add((tile, members.tobytes()))
-                        rows.append((tile, members))
+                    first = 0 if x == y else end[x] - cut[x]
+                    if (tile, first, members.tobytes()) not in seen:
+                        seen.add((tile, first, members.tobytes()))
+                        rows.append((tile, members, first))
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["tile", "members"])
+                    yield pd.DataFrame(rows, columns=["tile", "members", "cut"])
                     rows, seen = [], set()
             i = j
         if rows:
-            yield pd.DataFrame(rows, columns=["tile", "members"])
+            yield pd.DataFrame(rows, columns=["tile", "members", "cut"])
 
     n = int(in_bucket.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return in_bucket.join(block, "class").select("bucket", "block", "class").repartition(n, "bucket").mapInPandas(run, "tile long, members array<long>")
+    return in_bucket.join(block, "class").select("bucket", "block", "class").repartition(n, "bucket").mapInPandas(run, "tile long, members array<long>, cut int")
 
 
-def _verify(loaded: list[tuple[int, np.ndarray]], buckets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs of classes of one tile that reach the threshold, as (smaller, larger, similarity)."""
-    names = np.array([c for c, _ in loaded], np.int64)
-    order = np.argsort(names)
-    names, sets = names[order], [loaded[i][1] for i in order]
+@dataclass
+class Verified:
+    """Of one tile: classes with their weighted number of links, edges that join what is linked, and all pairs (if asked for)."""
+
+    names: np.ndarray
+    links: np.ndarray
+    forest: list[tuple[int, int]]
+    pairs: list[tuple[int, int, float]]
+
+
+def _verify(loaded: dict[int, tuple[np.ndarray, int]], buckets: list[tuple[np.ndarray, int]], threshold: float, want: str) -> Verified:
+    """loaded: the n-gram set and the documents of each class; buckets: (members, cut).
+    want: `links`, `pairs`, or `groups`, for which a pair that is joined already is not verified."""
+    names = np.array(sorted(loaded), np.int64)
+    sets = [loaded[int(c)][0] for c in names]
+    weight = np.array([loaded[int(c)][1] for c in names], np.int64)
     size = np.array([len(s) for s in sets], np.int64)
     start = np.cumsum(size) - size
     candidate = np.zeros((len(names), len(names)), bool)
-    for members in buckets:
+    for members, cut in buckets:
         at = np.searchsorted(names, members)
-        candidate[np.ix_(at, at)] = True
+        if cut:
+            candidate[np.ix_(at[:cut], at[cut:])] = candidate[np.ix_(at[cut:], at[:cut])] = True
+        else:
+            candidate[np.ix_(at, at)] = True
     _, grams = np.unique(np.concatenate(sets), return_inverse=True)
     present = np.zeros(int(grams.max()) + 1, bool)
-    out = []
+    group, out = np.arange(len(names)), Verified(names, np.zeros(len(names), np.int64), [], [])
     for i in range(len(names)):
         others = np.flatnonzero(candidate[i, i + 1 :]) + i + 1
         others = others[(np.minimum(size[others], size[i]) >= threshold * np.maximum(size[others], size[i]) - 1e-9)]
+        if want == "groups":
+            others = others[group[others] != group[i]]
         if not len(others):
             continue
         own = grams[start[i] : start[i] + size[i]]
@@ -204,68 +232,113 @@ def _verify(loaded: list[tuple[int, np.ndarray]], buckets: list[np.ndarray], thr
             shared = np.array([np.count_nonzero(present[grams[start[j] : start[j] + size[j]]]) for j in others])
         present[own] = False
         similarity = shared / (size[others] + size[i] - shared)
-        out += [(int(names[i]), int(names[j]), float(s)) for j, s in zip(others, similarity, strict=True) if s >= threshold]
+        others, similarity = others[similarity >= threshold], similarity[similarity >= threshold]
+        if want == "pairs":
+            out.pairs += [(int(names[i]), int(names[j]), float(s)) for j, s in zip(others, similarity, strict=True)]
+            continue
+        out.links[i] += weight[others].sum()
+        out.links[others] += weight[i]
+        for j in others:
+            if group[j] != group[i]:
+                out.forest.append((int(names[i]), int(names[j])))
+                group[group == group[j]] = group[i]
     return out
 
 
-def class_pairs(docs: DataFrame, p: JoinParams = JoinParams()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of every document with words, and (class_a, class_b, jaccard) of the pairs of different classes."""
-    signed_docs = materialize(signatures(docs, p), "signatures")
-    members = signed_docs.select("doc_id", "class").distinct()
-    classes = signed_docs.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+LINK = ["class_a", "class_b", "links", "jaccard"]
+
+
+def _classes(docs: DataFrame, p: JoinParams, want: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, version and class of every row with words, and what the tiles give: edges (class_a, class_b), links (class_a, links), and pairs."""
+    rows = materialize(signatures(docs, p), "signatures")
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
+    classes = rows.groupBy("class").agg(F.min(own).alias("who"), F.first("bands").alias("bands"))
     in_bucket = materialize(_buckets(classes), "buckets")
     tiles = materialize(_tiles(in_bucket, p), "tiles")
     wanted = tiles.select("tile", F.explode("members").alias("class")).groupBy("class").agg(F.collect_set("tile").alias("tiles"))
-    place = members.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class").select("doc_id", F.struct("class", "tiles").alias("w"))
-    place = place.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+    sizes = rows.where("doc_id IS NOT NULL").select("class", "doc_id").distinct().groupBy("class").agg(F.count("*").alias("n")) if want == "links" else rows.select("class", F.lit(1).cast("bigint").alias("n")).distinct()
+    chosen = classes.select("class", F.col("who.doc_id").alias("doc_id"), F.col("who.version").alias("version")).join(wanted, "class").join(sizes, "class", "left")
+    # the row from which the set of a class is loaded; rows that repeat it do no harm
+    place = chosen.groupBy("doc_id", "version").agg(F.collect_list(F.struct("class", "tiles", F.coalesce("n", F.lit(0)).alias("n"))).alias("wanted"))
 
     def load(batches):
+        columns = ["tile", "class", "n", "grams"]
         for pdf in batches:
-            rows = []
+            held: list[tuple] = []
             wanted = pdf["wanted"].tolist()
             for i, grams in _sets(pdf["text"].tolist(), p.n):
                 name = int(np.uint64(set_name(grams)).view(np.int64))
                 for w in wanted[i]:
                     if w["class"] == name:
-                        rows += [(tile, name, grams.tobytes()) for tile in w["tiles"]]
-                if len(rows) >= 2000:
-                    yield pd.DataFrame(rows, columns=["tile", "class", "grams"]).assign(members=None)
-                    rows = []
-            yield pd.DataFrame(rows, columns=["tile", "class", "grams"]).assign(members=None)
-
-    shape = "tile long, class long, grams binary, members array<long>"
-    sets = _picked(docs).join(place, "doc_id").select("text", "wanted").mapInPandas(load, shape)
-    lists = tiles.select("tile", F.lit(0).cast("long").alias("class"), F.lit(None).cast("binary").alias("grams"), "members")
+                        held += [(tile, name, w["n"], grams.tobytes()) for tile in w["tiles"]]
+                if len(held) >= 2000:
+                    yield pd.DataFrame(held, columns=columns).assign(members=None, cut=0)
+                    held = []
+            yield pd.DataFrame(held, columns=columns).assign(members=None, cut=0)
+
+    shape = "tile long, class long, n long, grams binary, members array<long>, cut int"
+    texts = _picked(docs)
+    same = texts["doc_id"].eqNullSafe(place["doc_id"]) & (texts["version"] == place["version"])
+    sets = texts.join(place, same).select("text", "wanted").mapInPandas(load, shape)
+    none = F.lit(None)
+    lists = tiles.select("tile", F.lit(0).cast("long").alias("class"), F.lit(0).cast("long").alias("n"), none.cast("binary").alias("grams"), "members", "cut")
+
+    def frame(v: Verified) -> pd.DataFrame:
+        some = np.flatnonzero(v.links)
+        parts = [
+            pd.DataFrame({"class_a": v.names[some], "class_b": None, "links": v.links[some], "jaccard": None}),
+            pd.DataFrame([(a, b, None, None) for a, b in v.forest], columns=LINK),
+            pd.DataFrame([(a, b, None, s) for a, b, s in v.pairs], columns=LINK),
+        ]
+        return pd.concat([x.astype({"class_a": "int64", "class_b": "Int64", "links": "Int64", "jaccard": "Float64"}) for x in parts if len(x)] or [pd.DataFrame([], columns=LINK)])
 
     def verify(batches):
-        tile, loaded, buckets, out = None, {}, [], []
+        tile, loaded, buckets = None, {}, []
         for pdf in batches:
-            for t, c, g, m in zip(pdf["tile"].tolist(), pdf["class"], pdf["grams"], pdf["members"], strict=True):
+            for t, c, n, g, m, cut in zip(pdf["tile"].tolist(), pdf["class"], pdf["n"], pdf["grams"], pdf["members"], pdf["cut"], strict=True):
                 if t != tile:
                     if loaded:
-                        out += _verify(list(loaded.items()), buckets, p.threshold)
+                        yield frame(_verify(loaded, buckets, p.threshold, want))
                     tile, loaded, buckets = t, {}, []
-                    if len(out) > 50_000:
-                        yield pd.DataFrame(out, columns=["class_a", "class_b", "jaccard"])
-                        out = []
                 if g is not None:
-                    loaded[int(c)] = np.frombuffer(g, np.uint64)
+                    loaded[int(c)] = np.frombuffer(g, np.uint64), int(n)
                 else:
-                    buckets.append(np.asarray(m))
+                    buckets.append((np.asarray(m), int(cut)))
         if loaded:
-            out += _verify(list(loaded.items()), buckets, p.threshold)
-        yield pd.DataFrame(out, columns=["class_a", "class_b", "jaccard"])
+            yield frame(_verify(loaded, buckets, p.threshold, want))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = sets.unionByName(lists).repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(verify, "class_a long, class_b long, jaccard double")
-    return members, materialize(pairs, "pairs").dropDuplicates(["class_a", "class_b"])
+    given = sets.unionByName(lists).repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(verify, "class_a long, class_b long, links long, jaccard double")
+    return rows.select("doc_id", "version", "class"), materialize(given, "links")
+
+
+def _groups(rows: DataFrame, edges: DataFrame, key) -> DataFrame:
+    """class, first, kept: of every class, its least key and the least key of its group."""
+    by_class = rows.groupBy("class").agg(F.min(key).alias("first"))
+    roots = components(edges.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    placed = by_class.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+    return placed.join(placed.groupBy("root").agg(F.min("first").alias("kept")), "root").select("class", "first", "kept")
+
+
+def linked(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+    """doc_id, class_id, n_links: one row a document that is linked with others. class_id is the smallest doc_id of all
+    that it is linked with directly or by way of others; n_links counts the documents that reach the threshold with it."""
+    rows, found = _classes(docs, p, "links")
+    members = rows.where("doc_id IS NOT NULL").select("doc_id", "class").distinct()
+    group = _groups(members, found.where("class_b IS NOT NULL"), F.col("doc_id"))
+    across = found.where("links IS NOT NULL").groupBy(F.col("class_a").alias("class")).agg(F.sum("links").alias("across"))
+    within = members.groupBy("class").agg((F.count("*") - 1).alias("within"))
+    table = group.join(within, "class").join(across, "class", "left").select("class", F.col("kept").alias("class_id"), (F.col("within") + F.coalesce("across", F.lit(0))).alias("n_links")).where("n_links > 0")
+    return members.join(table, "class").select("doc_id", "class_id", "n_links")
 
 
 def similar_pairs(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """doc_a, doc_b, jaccard of all pairs of documents that reach the threshold (of those that share a band)."""
-    members, pairs = class_pairs(docs, p)
+    """doc_a, doc_b, jaccard of all pairs of documents that reach the threshold (of those that share a band).
+    It lists every pair, so it grows with the square of a group of copies; `linked` does not."""
+    rows, found = _classes(docs, p, "pairs")
+    members = rows.where("doc_id IS NOT NULL").select("doc_id", "class").distinct()
     a, b = (members.select(F.col("class").alias(f"class_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
-    across = pairs.join(a, "class_a").join(b, "class_b").where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    across = found.select("class_a", "class_b", "jaccard").join(a, "class_a").join(b, "class_b").where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
     many = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("class_a"))
     own = a.join(many, "class_a", "left_semi")
     inside = own.join(own.select(F.col("class_a"), F.col("doc_a").alias("doc_b")), "class_a").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
@@ -287,27 +360,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, kept: for every document that is linked with others, the document of its group that stays (the smallest doc_id)."""
-    members, pairs = class_pairs(docs, p)
-    by_class = members.groupBy("class").agg(F.min("doc_id").alias("first"))
-    roots = components(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
-    placed = members.join(by_class, "class").join(roots, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("root", "class").alias("root"))
-    # a document that stands in two classes (two texts under one doc_id) links them
-    twice = placed.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    if not twice.isEmpty():
-        joined = components(twice.select("a", "b"))
-        placed = placed.join(joined, F.col("root") == F.col("node"), "left").select("doc_id", F.coalesce(joined["root"], placed["root"]).alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("kept"))
-    return placed.join(least, "root").select("doc_id", "kept").distinct()
-
-
 def keep_one(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """docs with one document of each group of near copies; all columns stay."""
-    gone = groups(docs, p).where("doc_id <> kept").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    """docs with one row of each group of near copies; all columns stay."""
+    rows, found = _classes(docs, p, "groups")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
+    group = _groups(rows, found.where("class_b IS NOT NULL"), key)
+    once = rows.groupBy("doc_id", "version", "class").agg(F.count("*").alias("times"))
+    placed = once.join(group.select("class", "kept"), "class")
+    stays = (F.col("kept.version") == F.col("version")) & F.col("kept.doc_id").eqNullSafe(F.col("doc_id"))
+    placed = materialize(placed.select("doc_id", "version", "times", stays.alias("stays")), "decisions")
+    names = [free_name(x, docs.columns) for x in ("gone_id", "gone_version")]
+    of = lambda found: found.select(F.col("doc_id").alias(names[0]), F.col("version").alias(names[1]))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1]))
+    left = docs.join(of(placed.where("NOT stays")), same, "left_anti")
+    repeated = of(placed.where("stays AND times > 1"))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # rows of one doc_id and text: one of them stays
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    row, rank = free_name("row", docs.columns), F.xxhash64(*plain)
+    first = left.join(repeated, same, "left_semi").groupBy(F.col("doc_id").alias(names[0]), F.xxhash64("text").alias(names[1])).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias(row))
+    return left.join(repeated, same, "left_anti").unionByName(first.select(*[F.col(f"`{row}`.`{c}`") for c in docs.columns]))

@@ -41,8 +41,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word n-gram sets are alike."""
-    return ngram_join.similar_pairs(read_table(spark, sf_dir, "documents"))
+    """Every document whose word n-gram set is like another's: its group and the number of its links."""
+    return ngram_join.linked(read_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

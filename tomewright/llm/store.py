@@ -6,6 +6,8 @@ that setting is missing (single-machine tests) a temporary folder is used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="tomewright-")
+            folder = tempfile.mkdtemp(prefix="tomewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = "file://" + folder
             spark.conf.set("tomewright.test.dir", base)
     return f"{base.rstrip('/')}/tomewright-{kind}-{uuid.uuid4().hex}"
 
@@ -34,6 +38,14 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of `taken` equals, in any case."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

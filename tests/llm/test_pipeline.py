@@ -39,7 +39,7 @@ def test_stages(spark, folder):
     assert ids(docs) - ids(clean) == {r["doc_id"] for r in toxicity.flag(docs, read_table(spark, folder, "labels")).collect()}
     assert sum(i % 4 == 0 for i in ids(docs) - ids(clean) if i < 600) > 130
     one = named["near_duplicates"](spark, clean, folder).cache()
-    assert ids(clean) - ids(one) == {r["doc_id"] for r in ngram_join.groups(clean).where("doc_id <> kept").collect()} == {700, 701}
+    assert ids(clean) - ids(one) == {r["doc_id"] for r in ngram_join.linked(clean).where("doc_id <> class_id").collect()} == {700, 701}
     pure = named["decontamination"](spark, one, folder).cache()
     assert ids(one) - ids(pure) == {r["doc_id"] for r in decontaminate.leaks(one, read_table(spark, folder, "benchmark")).collect()} == {710}
     blank = named["secrets"](spark, pure, folder).cache()

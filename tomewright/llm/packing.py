@@ -10,7 +10,10 @@ shuffles, and it moves the leftover windows only, `open_windows` a partition at
 
 Defined results: null or empty text has no tokens and no row; a document longer
 than a window spans several windows; repeated rows are packed each; a null doc_id
-is packed as null; an empty table gives no rows; other columns are not touched.
+is packed as null; an empty table gives no rows; other columns are not touched,
+whatever their names. Ties: of open windows with equal room the one opened first takes
+a document or is emitted, and of leftovers of equal fill the one of the lower id moves
+first. A very long text is tokenised whole.
 The tokens [doc_from, doc_to) of a document lie at `at` of window `window_id`; each
 row holds them, and a window is its rows' tokens in the order of `at`.
 """
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +42,7 @@ class PackingParams:
     window: int = 2048
     open_windows: int = 64
     merge_group: int = 200_000
-    frame_tokens: int = 4_000_000
+    frame_tokens: int = 1_000_000
     tokenizer: TokenizerParams = TokenizerParams()
 
 
@@ -100,34 +104,39 @@ def merge_leftovers(fills: list[tuple[int, int]], size: int) -> list[tuple[int,
 def pack_documents(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
     """window_id, doc_id, doc_from, doc_to, at, tokens: where the tokens of every document go, and the tokens."""
 
-    def frame(rows: list[tuple], is_open: bool) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["window_id", "doc_id", "doc_from", "doc_to", "at", "tokens"])
-        out["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in out["doc_id"]], "Int64")
-        return out.assign(is_open=is_open)
+    def frame(rows: list[tuple], is_open: bool) -> pa.RecordBatch:
+        window, doc, a, b, at, tokens = zip(*rows, strict=True)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+        columns = [pa.array(x, pa.int64()) for x in (window, doc, a, b)] + [pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([is_open] * len(rows))], names=["window_id", "doc_id", "doc_from", "doc_to", "at", "tokens", "is_open"])
 
     def run(batches):
         windows = OpenWindows(p.window, p.open_windows, TaskContext.get().partitionId() << 40)
-        for pdf in batches:
-            rows: list[tuple] = []
-            size = 0
-            for doc, ids in zip(pdf["doc_id"].astype("Int64"), token_ids(pdf["text"].tolist(), p.tokenizer), strict=True):
-                whole = len(ids) // p.window * p.window
-                # an open window keeps the document's rest only
-                own = (None if doc is pd.NA else int(doc), ids[whole:].copy())
-                for window, (d, rest), a, b, at in windows.add(own, len(ids)) if len(ids) else ():
-                    rows.append((window, d, a, b, at, ids[a:b] if rest is own[1] and a < whole else rest))
-                    size += b - a
-                if size > p.frame_tokens:
-                    yield frame(rows, False)
-                    rows, size = [], 0
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                docs_, texts = (batch.column(c).slice(start, 64).to_pylist() for c in (0, 1))
+                for doc, ids in zip(docs_, token_ids(texts, p.tokenizer), strict=True):
+                    whole = len(ids) // p.window * p.window
+                    # an open window keeps the document's rest only
+                    own = (doc, ids[whole:].copy())
+                    for window, (d, rest), a, b, at in windows.add(own, len(ids)) if len(ids) else ():
+                        rows.append((window, d, a, b, at, ids[a:b] if rest is own[1] and a < whole else rest))
+                        size += b - a
+                    if size > p.frame_tokens:
+                        yield frame(rows, False)
+                        rows, size = [], 0
+        if rows:
             yield frame(rows, False)
-        yield frame([(window, d, a, b, at, rest) for window, (d, rest), a, b, at in windows.left()], True)
+        if left := [(window, d, a, b, at, rest) for window, (d, rest), a, b, at in windows.left()]:
+            yield frame(left, True)
 
     def merge(batches):
         fills = [x for pdf in batches for x in zip(pdf["window_id"].tolist(), pdf["fill"].tolist(), strict=True)]
         yield pd.DataFrame(merge_leftovers(fills, p.window), columns=["window_id", "target", "shift"])
 
-    pieces = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, ROWS), "packing")
+    pieces = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ROWS), "packing")
     left = pieces.where("is_open")
     fills = left.groupBy("window_id").agg(F.max(F.col("at") + F.col("doc_to") - F.col("doc_from")).cast("int").alias("fill"))
     groups = -(-max(1, left.select("window_id").distinct().count()) // p.merge_group)

@@ -17,9 +17,14 @@ def brute(rows, length):
             holders.setdefault(tuple(h[i : i + length]), set()).add(d)
     out = set()
     for d, h in docs:
-        at = [i for i in range(len(h) - length + 1) if len(holders[tuple(h[i : i + length])]) > 1]
+        at = {i for i in range(len(h) - length + 1) if len(holders[tuple(h[i : i + length])]) > 1}
         if at:
-            out |= {(d, a, b) for a, b in zip(*D.merge_runs(np.array(at), length), strict=True)}
+            start = [i for i in at if not any(j in at for j in range(i - length, i))]
+            for a in start:
+                b = a
+                while further := [j for j in range(b + 1, b + length + 1) if j in at]:
+                    b = further[-1]
+                out.add((d, a, b + length))
     return out
 
 
@@ -76,5 +81,21 @@ def test_sliding(w):
 
 def test_compaction(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (4, 6), (7, 8), (8, 7), (9, 10), (11, 10), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 26), (30, 30)]
-    got = {r["edge"]: (r["path"], r["step"]) for r in D.compact(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 7: (7, 0), 8: (8, 0), **{20 + i: (20, i) for i in range(7)}}
+    edges = spark.createDataFrame([(x,) for x in sorted({x for e in links for x in e} | {40})], "edge long")
+    got = {r["edge"]: (r["path"], r["step"]) for r in D.compact(edges, spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {x: (x, 0) for x in (5, 6, 7, 8, 9, 10, 11, 30, 40)}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), **alone, **{20 + i: (20, i) for i in range(7)}}
+
+
+def test_a_long_passage_is_one_unit(make_docs, monkeypatch):
+    """Compacted paths carry the result: copies of a long passage are confirmed by one unit, and without paths nothing is found."""
+    passage = prose(700, 3000)
+    docs = make_docs([(1, prose(701, 40) + " " + passage), (2, passage + " " + prose(702, 60)), (3, passage)])
+    asked = []
+    inner = D._confirmed
+    monkeypatch.setattr(D, "_confirmed", lambda x, p, parts: asked.append(x.selectExpr("aggregate(transform(arrays_zip(first, last), r -> r.last - r.first + 1), 0, (a, n) -> a + n) AS n").agg({"n": "sum"}).first()[0]) or inner(x, p, parts))
+    assert found(docs, D.SubstringParams()) == {(1, 40, 3040), (2, 0, 3000), (3, 0, 3000)}
+    assert asked[0] < 3 * 2 * 100  # of nearly 9,000 runs
+    compact = D.compact
+    monkeypatch.setattr(D, "compact", lambda edges, links: compact(edges, links).limit(0))
+    assert found(docs, D.SubstringParams()) == set()

@@ -1,17 +1,25 @@
 """Secret scans: every candidate and its surroundings go through a character convolutional network.
 
-Patterns only propose candidates: long runs with a digit, values assigned to a
-name such as `token`, private key blocks and passwords in URLs. The network (numpy)
-reads `before` characters, a window of `inside` characters of the candidate and
-`after` characters; a candidate longer than a window is read in overlapping
+Patterns only propose candidates, without upper bounds on any length: runs of 16 or more
+characters of a key alphabet that hold a digit or both cases in a row (`aB`), values of 6
+or more characters assigned to a name that holds a word such as `token`, private key
+blocks (encrypted ones too), and passwords of 4 or more characters in URLs. They are read
+alike by Spark (the test in front) and by Python: character classes are ASCII in both. A
+run of letters of one case is a word unless it is assigned to a name.
+
+The network (numpy) reads `before` characters, a window of `inside` characters of the
+candidate and `after` characters; a candidate longer than a window is read in overlapping
 windows and its highest score counts, so no part of it goes unread. Scores are
 calibrated on held-out findings, and the threshold of each kind is the highest
-one at which at least `recall` of the held-out secrets of that kind are kept.
-
-Defined results: null or empty text has no candidates; all candidates are
-scored, and of accepted ones that overlap the longest counts; equal texts in repeated rows give equal findings, one
-set a row; findings carry a SHA-256 of the secret and never the secret; a null
-doc_id stays null; other columns are not touched.
+one at which at least `recall` of the held-out secrets of that kind are kept (of all
+kinds together where a kind has fewer than `least_held`).
+
+Defined results: null or empty text has no candidates; a very long text is read whole;
+all candidates are scored, and of accepted ones that overlap the longest counts, of
+equally long ones the earlier kind, then the earlier place; equal texts in repeated rows
+give equal findings, one set a row; findings carry a SHA-256 of the secret and never the
+secret; a null doc_id stays null; an empty table gives an empty result; other columns are
+not touched, whatever their names, but for n_chars, which `redact` brings up to date.
 """
 
 from __future__ import annotations
@@ -26,15 +34,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
-ASSIGNED = r"(?i:\b[a-z_\-]{0,24}(?:token|secret|passwd|password|pwd|api_?key|access_?key|credential)[a-z_\-]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}"
-IN_URL = r"://[^\s:/@]{1,64}:[^\s:/@]{4,128}@"
+from .store import free_name
+
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|[A-Za-z+/_\-]*[a-z][A-Z])[A-Za-z0-9+/_\-]{16,}={0,2}"
+_NAMES = "token|secret|passwd|password|pwd|api[_\\-]?key|access[_\\-]?key|credential"
+ASSIGNED = rf"(?i:(?<![\w\-])(?=[\w\-]*?(?:{_NAMES}))[\w\-]++[\"']?\]?\s*+[:=]++>?\s*+[\"']?)"
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----\s*+(?:[A-Za-z\-]++:[^\n]*+\n\s*+)*+[A-Za-z0-9+/=\s\\]{16,}"
+IN_URL = r"://[^\s:/@]*+:[^\s/@]{4,}@"
 _PATTERNS = {
-    "key_block": re.compile(KEY_BLOCK),
-    "in_url": re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{4,128})@"),
-    "assigned": re.compile(ASSIGNED + r"([^\s\"',;<>]{6,})"),
-    "run": re.compile(RUN),
+    "key_block": re.compile(KEY_BLOCK, re.ASCII),
+    "in_url": re.compile(r"://[^\s:/@]*+:([^\s/@]{4,})@", re.ASCII),
+    "assigned": re.compile(ASSIGNED + r"([^\s\"',;<>]{6,})", re.ASCII),
+    "run": re.compile(RUN, re.ASCII),
 }
 KINDS = tuple(_PATTERNS)
 ALPHABET = string.ascii_letters + string.digits + string.punctuation + " \n"
@@ -50,13 +61,14 @@ class SecretParams:
     inside: int = 48
     after: int = 8
     dim: int = 8
-    filters: int = 16
+    filters: int = 24
     width: int = 5
     epochs: int = 10
     batch: int = 64
     rate: float = 0.01
-    recall: float = 0.99
-    findings: int = 12_000
+    recall: float = 0.998
+    least_held: int = 20
+    findings: int = 16_000
     seed: int = 11
 
     @property
@@ -138,7 +150,7 @@ def logits(x: np.ndarray, w: dict[str, np.ndarray], p: SecretParams) -> np.ndarr
 def train(x: np.ndarray, y: np.ndarray, p: SecretParams) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     new = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
-    w = {"e": new(N_CODES, p.dim, scale=0.5), "f": new(p.width, p.dim, p.filters, scale=0.2), "b": np.zeros(p.filters, np.float32), "u": new(4 * p.filters, 16, scale=0.15), "d": np.zeros(16, np.float32), "v": new(16, scale=0.3), "c": np.zeros(1, np.float32)}
+    w = {"e": new(N_CODES, p.dim, scale=0.5), "f": new(p.width, p.dim, p.filters, scale=0.2), "b": np.zeros(p.filters, np.float32), "u": new(4 * p.filters, 24, scale=0.15), "d": np.zeros(24, np.float32), "v": new(24, scale=0.3), "c": np.zeros(1, np.float32)}
     moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}, 0
     n = p.length - p.width + 1
     for epoch in range(p.epochs):
@@ -185,9 +197,11 @@ def synthetic_findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]
     syllables = "the an in er on re ed nd ha at en es of or ti to is it st al ar te se ch que der ein la os ciel eau".split()
     letters = string.ascii_lowercase + "etaoinsr"
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
-    any_word = lambda: word() if rng.random() < 0.5 else chars(letters, int(rng.integers(1, 11)))
+    stray = lambda: pick([lambda: f"{word()}.{chars(digits, 2)}@{word()}.example.com", lambda: f"https://{word()}.example.com/{word()}", lambda: f"{chars(digits, 3)}-{chars(digits, 4)}", lambda: f"{word()}_{word()}", lambda: f"20{chars(digits, 2)}"])()
+    any_word = lambda: stray() if rng.random() < 0.06 else word() if rng.random() < 0.5 else chars(letters, int(rng.integers(1, 11)))
     prose = lambda k: " ".join(any_word() + pick(["", "", "", ",", ".", "###", "%%%", "!!", ".\n"]) for _ in range(k))
     names = "token secret password passwd api_key apikey secret_key access_key auth_token client_secret db_password credential".split()
+    camel = lambda: "".join(w if i == 0 and rng.random() < 0.5 else w.capitalize() for i, w in enumerate([word() + word() for _ in range(rng.integers(3, 6))]))
     uuid = lambda: "-".join(chars(hexa, k) for k in (8, 4, 4, 4, 12))
     secret_value = lambda: pick([lambda: chars(hexa, int(pick([32, 40, 64]))), lambda: chars(alnum, int(rng.integers(16, 44))), lambda: "ghp_" + chars(alnum, 36), lambda: "AKIA" + chars(string.ascii_uppercase + digits, 16), lambda: "sk_live_" + chars(alnum, 24), lambda: "xoxb-" + chars(digits, 11) + "-" + chars(alnum, 24), lambda: chars(b64, 40), lambda: "AIza" + chars(alnum + "-_", 35), lambda: ".".join(["eyJ" + chars(alnum, 20), "eyJ" + chars(alnum, 40), chars(alnum + "-_", 43)])])()
     assign = lambda name, v: pick([f'{name} = "{v}"', f'{name}="{v}"', f"{name}: {v}", f"{name.upper()}={v}", f"'{name}': '{v}'"])
@@ -200,8 +214,8 @@ def synthetic_findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]
         lambda: pick(["ghp_", "gho_"]) + chars(alnum, 36),
         lambda: "AKIA" + chars(string.ascii_uppercase + digits, 16),
         lambda: pick(["sk_live_", "rk_live_"]) + chars(alnum, 24),
-        lambda: f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\n{chars(b64, 64)}\n{chars(b64, 64)}\n",
-        lambda: f"{pick(['postgres', 'mysql', 'https', 'amqp'])}://{word()}:{chars(alnum, int(rng.integers(8, 20)))}@{word()}.example.com/{word()}",
+        lambda: f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\n{pick(['', '', f'Proc-Type: 4,ENCRYPTED{chr(10)}DEK-Info: AES-128-CBC,{chars(hexa, 32).upper()}{chr(10) * 2}'])}{chars(b64, 64)}\n{chars(b64, 64)}\n",
+        lambda: f"{pick(['postgres', 'mysql', 'https', 'amqp', 'redis'])}://{pick([word(), word(), ''])}:{chars(alnum, int(pick([rng.integers(8, 20), rng.integers(20, 140)])))}@{word()}.example.com/{word()}",
     ]
     bad = [
         lambda: chars(digits, 16),
@@ -215,6 +229,8 @@ def synthetic_findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]
         lambda: assign(pick(["name", "path", "id", "version", "token_count", "max_tokens"]), pick([chars(digits, 16), f"{word()}/{word()}-{chars(digits, 12)}", uuid()])),
         lambda: "data:image/png;base64," + chars(b64, int(rng.integers(40, 90))) + "==",
         lambda: f"isbn-{chars(digits, 13)}-{word()}",
+        camel,
+        lambda: f"{camel()}/{camel()}_{word()}",
         lambda: f"https://{word()}:{pick(['8080', '443', '5432x', 'port'])}@home.example.com",
     ]
     out: list[tuple[str, int, int, str, int]] = []
@@ -242,18 +258,19 @@ def fit(findings: list[tuple[str, int, int, str, int]], p: SecretParams) -> Secr
     for (text, a, b, _, label), use in zip(findings, split, strict=True):
         if use:
             own = windows(text, a, b, p)
-            x += own[:1] if not label else own
-            y += [label] * (1 if not label else len(own))
+            x += own
+            y += [label] * len(own)
     weights = train(np.stack(x), np.array(y, np.float32), p)
     rest = [f for f, use in zip(findings, split, strict=True) if not use]
     raw, truth = _scores([(t, a, b) for t, a, b, _, _ in rest], weights, p), np.array([f[4] for f in rest])
     scale = _platt(raw, truth)
     prob = 1 / (1 + np.exp(-np.clip(scale[0] * raw + scale[1], -30, 30)))
     model = SecretModel(p, weights, scale)
+    every = np.sort(prob[truth == 1])
     for kind in KINDS:
         own = np.sort(prob[[f[3] == kind and f[4] == 1 for f in rest]])
-        missed = int((1 - p.recall) * len(own))
-        model.thresholds[kind] = float(min(own[missed] * 0.999, 0.9)) if len(own) >= 20 else 0.5
+        own = own if len(own) >= p.least_held else every
+        model.thresholds[kind] = float(min(own[int((1 - p.recall) * len(own))] * 0.999, 0.9)) if len(own) else 0.5
     return model
 
 
@@ -301,7 +318,7 @@ def find(texts: list[str | None], m: SecretModel) -> list[list[tuple[int, int, s
 def may_hold(text: Column) -> Column:
     """True where a text has a candidate. The cheap test in front of each pattern is one that all its candidates pass."""
     tests = [
-        text.rlike("[0-9]") & text.rlike(RUN),
+        text.rlike(RUN),
         (text.contains("=") | text.contains(":")) & text.rlike(ASSIGNED + r"[^\s\"',;<>]{6,}"),
         text.contains("-----BEGIN ") & text.rlike(KEY_BLOCK),
         text.contains("://") & text.rlike(IN_URL),
@@ -342,8 +359,10 @@ def redact(docs: DataFrame, model: SecretModel | None = None, mark: str = "[SECR
         return pd.Series(out, dtype=object)
 
     # texts without a candidate don't go to Python
-    out = docs.withColumn("_clean", clean(F.when(may_hold(F.col("text")), F.col("text"))))
-    changed = F.col("_clean").isNotNull() & (F.col("_clean") != F.col("text"))
+    name = free_name("clean", docs.columns)
+    out = docs.withColumn(name, clean(F.when(may_hold(F.col("text")), F.col("text"))))
+    changed = F.col(name).isNotNull() & (F.col(name) != F.col("text"))
+    new = {"text": F.coalesce(name, "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.coalesce("_clean", "text")).drop("_clean")
+        new["n_chars"] = F.when(changed, F.length(name).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

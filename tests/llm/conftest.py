@@ -18,7 +18,7 @@ def make_docs(spark):
         full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", len(r[1]) if r[1] is not None else None) for r in rows]
         frame = spark.createDataFrame(full, DOCS)
         if extra:
-            for c in ("class", "tile", "score", "votes", "toxic", "kept", "at", "edge", "window_id", "is_open", "_id", "term", "segment", "file", "flagged"):
+            for c in ("class", "tile", "score", "votes", "toxic", "kept", "at", "edge", "window_id", "is_open", "_id", "term", "segment", "file", "flagged", "gone_id", "gone_version", "leaked", "clean", "_gone", "_leaked", "_clean", "row", "version", "_part", "es", "low", "high"):
                 frame = frame.selectExpr("*", f"'x' AS `{c}`")
         return frame
 

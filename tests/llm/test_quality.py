@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 import pytest
+import regex
 
 from tomewright.llm import quality as Q
 
@@ -72,3 +75,35 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(same) == 3 and len(set(same)) == 1
     assert Q.keep(odd_docs).columns == ["doc_id", "votes", "p_quality"]
     assert Q.keep(no_docs).count() == 0
+
+
+def votes_by_hand(text):
+    t = text or ""
+    words = [w for w in regex.split(r"[ \t\n\x0b\f\r]+", t) if w]
+    lines = [x for x in t.split("\n") if x.strip(" ")]
+    spaced = {w for w in t.split(" ") if w}
+    n, size, few = len(words), len(t), len(words) < 8
+    marked = sum(bool(regex.search(r"[^\p{L}\p{N}.,;:!?'\"()\-]$|!!$", w)) for w in words)
+    ended = sum(x.rstrip(" ")[-1:] in tuple(".!?") for x in lines)
+    of = lambda chars: sum(c in chars for c in t)
+    symbols, upper, bars = of("#$%&*!|<>{}\\^~"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("|\t")
+    rules = [
+        (n >= 20, n < 1),
+        (size and symbols * 200 <= size, size and symbols * 33 > size),
+        (not few and marked * 20 <= n, not few and marked * 4 > n),
+        (not few and n * 4 <= size <= n * 9, size and not few and (size > n * 13 or size < n * 3)),
+        (size and upper * 12 <= size, size and upper * 4 > size),
+        (size and ended * 2 > len(lines) and not few, size and ended * 4 < len(lines) and not few),
+        (len(lines) >= 4 and len(set(lines)) * 20 >= len(lines) * 19, len(lines) >= 4 and len(set(lines)) * 10 < len(lines) * 7),
+        (n >= 30 and len(spaced) * 5 > n, n >= 30 and len(spaced) * 10 < n),
+        (size and bars * 50 < n, size and not few and bars * 4 > n),
+    ]
+    return "".join("-" if bad else "+" if good else "0" for good, bad in rules)
+
+
+def test_votes_against_brute_force(make_docs):
+    r = random.Random(2)
+    pieces = [*prose(1, 30).split(), "WORD", "###", "a|b", "|", "\t", "\n", "\n", "!!", "so.", "yes!", "(x)", "é", "ab-", "1234567890123456789", " ", "  ", "x"]
+    texts = [" ".join(r.choice(pieces[r.randrange(len(pieces)) :]) for _ in range(r.randrange(0, 90))) for _ in range(600)] + [None, "", "\n\n", prose(2, 30_000), ("line one.\n" * 9)]
+    got = {x["doc_id"]: x["votes"] for x in Q.votes(make_docs(list(enumerate(texts)), extra=True)).collect()}
+    assert got == {i: votes_by_hand(t) for i, t in enumerate(texts)}

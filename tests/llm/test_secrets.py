@@ -107,9 +107,9 @@ def by_hand(text):
         if len(run) >= 16 and (any(c.isdigit() for c in run) or any(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))):
             out.add((i, j + min(2, len(text[j:]) - len(text[j:].lstrip("="))), "run"))
         i = max(j, i + 1)
-    word = key - set("+/")
+    word, done = key - set("+/"), 0
     for i in range(len(text)):
-        if text[i] not in word or i and text[i - 1] in word:
+        if i < done or text[i] not in word or i and text[i - 1] in word:
             continue
         j = i
         while j < len(text) and text[j] in word:
@@ -133,12 +133,13 @@ def by_hand(text):
         e = k
         while e < len(text) and text[e] not in space + "\"',;<>":
             e += 1
-        if e - k >= 6:
+        if e - k >= 6 and not text.startswith(S.MARK, k):
             out.add((k, e, "assigned"))
+            done = e  # what stands in a value is part of it
     return out
 
 
-PIECES = ["token", "Secret", "pwd", "api_key", " ", "  ", "\u00a0", "\n", "=", ":", "=>", "'", '"', "://", "@", "/", "-", "_", "4111111111111111", "abcdefgh", "aB", "XyZ", "é", "K", "1", ",", ";", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "\n\n", "Proc-Type: 4,ENCRYPTED\n", "QUJDREVGR0hJSktMTU5PUA", "==", "user", "ſecret"]
+PIECES = ["[SECRET]", "token", "Secret", "pwd", "api_key", " ", "  ", "\u00a0", "\n", "=", ":", "=>", "'", '"', "://", "@", "/", "-", "_", "4111111111111111", "abcdefgh", "aB", "XyZ", "é", "K", "1", ",", ";", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "\n\n", "Proc-Type: 4,ENCRYPTED\n", "QUJDREVGR0hJSktMTU5PUA", "==", "user", "ſecret"]
 
 
 def test_candidates_against_brute_force_and_spark(spark):

@@ -18,8 +18,9 @@ def brute(url, rules):
     best = None
     for rule in rules:
         rid, pattern, action, _ = rule
-        if pattern is None or "/" not in pattern[1:] or action not in ("allow", "block"):
+        if not pattern or pattern[0] == "/" or action not in ("allow", "block"):
             continue
+        pattern += "" if "/" in pattern else "/"
         h, _, p = pattern.partition("/")
         h, p = h.lower(), "/" + p
         labels = host.split(".")
@@ -28,7 +29,7 @@ def brute(url, rules):
             continue
         if not (p in (path, path + mark + query) or (p.endswith("/") and path.startswith(p))):
             continue
-        key = (len(h), len(p), action == "allow", -rid)
+        key = (len(h), len(p), action == "allow", rid is not None, -(rid or 0))
         if best is None or key > best[0]:
             best = key, rule
     return best and best[1]
@@ -37,11 +38,11 @@ def brute(url, rules):
 RULE_ROWS = [
     (1, "example.com/", "block", "a"), (2, "www.example.com/", "allow", "b"), (3, "example.com/x/", "allow", "c"), (4, "example.com/x/y.html", "block", "d"), (5, "example.com/x/y.html?q=1", "allow", "e"),
     (6, "10.0.0.1/", "block", "ip"), (7, "0.0.1/", "block", "never"), (8, "Tie.org/", "block", "t"), (9, "tie.org/", "allow", "t"), (10, None, "block", "n"), (11, "tie.org/", "other", "n"), (12, "a.b.c.d.e.deep.net/1/2/3/4/5/6/7/8/", "block", "deep"),
-    (13, "tie.org/", "allow", "later"),
+    (13, "tie.org/", "allow", "later"), (14, "bare.example.net", "block", "host"), (14, "bare.example.net", "block", "a host"), (15, "", "block", "n"), (16, "/only/path", "block", "n"), (None, "bare.example.net", "block", "0"),
 ]
 URLS = [
     "http://example.com", "https://EXAMPLE.com:8080/x/y.html", "https://user:pw@www.example.com/x/", "http://sub.www.example.com/q", "http://example.com/x/y.html?q=1#frag", "http://example.com/x/z?q", "http://10.0.0.1/a", "http://tie.org",
-    "http://notexample.com/", "http://a.b.c.d.e.deep.net/1/2/3/4/5/6/7/8/9", "http://z.a.b.c.d.e.deep.net/1/2/3/4/5/6/7/", "", "http:///nohost", "localhost/x", "http://example.com?q=1", "http://example.com/" + "p/" * 3000,
+    "http://notexample.com/", "http://bare.example.net/any/page", "https://x.bare.example.net", "http://a.b.c.d.e.deep.net/1/2/3/4/5/6/7/8/9", "http://z.a.b.c.d.e.deep.net/1/2/3/4/5/6/7/", "", "http:///nohost", "localhost/x", "http://example.com?q=1", "http://example.com/" + "p/" * 3000,
 ]
 
 
@@ -52,6 +53,8 @@ def test_against_brute_force(spark):
     for r in rows:
         rule = brute(r["url"], RULE_ROWS)
         assert (r["action"], r["rule_id"]) == ((rule[2], rule[0]) if rule else ("none", None)), r["url"][:80]
+        if rule and rule[0] == 14:
+            assert r["category"] == "a host"
 
 
 def test_empty(spark):

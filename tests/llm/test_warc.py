@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import io
 import zlib
 
@@ -41,7 +43,7 @@ def test_members(contents, step):
 
 @pytest.mark.parametrize(
     ("raw", "error"),
-    [(record(digest="sha1:WRONG"), None), (record(length="none"), "no Content-Length"), (record(length="99"), "content is shorter than Content-Length"), (record(length="x"), "no Content-Length"), (b"junk", "no WARC header"), (record(end=b""), "record doesn't end with two line ends"), (record(length="3"), "record doesn't end with two line ends")],
+    [(record(digest="sha1:WRONG"), None), (record(length="none"), "no Content-Length"), (record(length="99"), "content is shorter than Content-Length"), (record(length="x"), "no Content-Length"), (record(length="²"), "no Content-Length"), (record(length="9" * 30), "no Content-Length"), (record(length="-1"), "no Content-Length"), (b"junk", "no WARC header"), (record(end=b""), "record doesn't end with two line ends"), (record(length="3"), "record doesn't end with two line ends")],
 )
 def test_broken_records(raw, error):
     good = gzip.compress(record(b"next", digest=W.digest(b"next")))
@@ -65,6 +67,30 @@ def test_broken_gzip(step):
     assert list(W.read_records(io.BytesIO(b""))) == []
 
 
+@pytest.mark.parametrize("name", ["sha1", "sha256", "sha512", "md5", "SHA-256"])
+def test_digests_of_every_coding(name):
+    raw = hashlib.new(name.lower().replace("-", ""), b"x").digest()
+    b32, b64 = base64.b32encode(raw).decode(), base64.b64encode(raw).decode()
+    for said in (raw.hex(), raw.hex().upper(), b32, b32.lower(), b32.rstrip("="), b64, b64.rstrip("="), base64.urlsafe_b64encode(raw).decode()):
+        assert W.digest_ok(f"{name}:{said}", b"x") is True and W.digest_ok(f"{name}:{said}", b"y") is False
+    assert W.digest_ok(f"{name}:?", b"x") is False
+    assert W.digest_ok("crc32:00", b"x") is None and W.digest_ok("", b"x") is None and W.digest_ok("no mark", b"x") is None
+
+
+def test_a_member_beyond_the_bound_is_an_error(monkeypatch):
+    monkeypatch.setattr(W, "MOST_BYTES", 1000)
+    good = gzip.compress(record(b"next"))
+    rows = list(W.read_records(io.BytesIO(gzip.compress(record(b"a" * 5000)) + good)))
+    assert "more than 1000 bytes" in rows[0].error and rows[-1].content == b"next"
+
+
+def test_odd_page_numbers(spark, tmp_path):
+    said = ["--5", "²", str(2**63), str(-(2**63)), "7", "", "1" * 40]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(record(b"x", extra=(f"X-Page-Id: {x}",))) for x in said))
+    rows = W.read_warc(spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "file string")).orderBy("record").collect()
+    assert [r["page_id"] for r in rows] == [None, None, None, -(2**63), 7, None, None]
+
+
 def test_no_digest_and_other_kinds():
     (r,) = W.read_records(io.BytesIO(gzip.compress(record(b"x", kind="warcinfo"))))
     assert r.digest_ok is None and r.headers["warc-type"] == "warcinfo"

@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
-from .text import Words, chunks, signed
+from .store import free_name, materialize
+from .text import Words, chunks, lean, signed
 
 INDEX = "segment long, docs binary, bounds binary, terms binary, counts binary, positions binary"
 MATCH = "doc_id long, item_id long, kind string, item_from int, item_to int, doc_from long, doc_to long"
@@ -266,7 +266,7 @@ def build_index(docs: DataFrame, p: DecontaminationParams = DecontaminationParam
             yield flush()
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return materialize(picked.mapInPandas(run, INDEX), "postings")
+    return materialize(picked.mapInPandas(lean(run), INDEX), "postings")
 
 
 def find_matches(index: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
@@ -288,7 +288,7 @@ def find_matches(index: DataFrame, benchmark: DataFrame, p: DecontaminationParam
                     own = np.isin(t, vocabulary.value, assume_unique=True)
                     yield pd.DataFrame({"term": signed(t[own]), "n": unsqueeze(counts, np.uint32)[own].astype(np.int64)})
 
-        counted = index.select("terms", "counts").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # no more rows than the pass has words
+        counted = index.select("terms", "counts").mapInPandas(lean(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # no more rows than the pass has words
         tests = spark.sparkContext.broadcast(make_tests(items, {r["term"] & (2**64 - 1): r["n"] for r in counted}, p))
 
         def run(batches, tests=tests):
@@ -297,7 +297,7 @@ def find_matches(index: DataFrame, benchmark: DataFrame, p: DecontaminationParam
                     g = Segment.load(row.docs, row.bounds, row.terms, row.counts, row.positions)
                     yield pd.DataFrame(search(g, tests.value, p), columns=["doc_id", "item_id", "kind", "item_from", "item_to", "doc_from", "doc_to"])
 
-        found = index.drop("segment").mapInPandas(run, MATCH)
+        found = index.drop("segment").mapInPandas(lean(run), MATCH)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -308,5 +308,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = Deco
 
 def reject(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """docs without the documents that hold a phrase of the benchmark or come near one."""
-    found = leaks(docs, benchmark, p).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("_leaked"), "left_anti")
+    name = free_name("leaked", docs.columns)
+    found = leaks(docs, benchmark, p).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import free_name, materialize
-from .text import Words, chunks, gram_hashes, mix, signed
+from .text import Words, chunks, gram_hashes, lean, mix, signed
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, p: JoinParams) -> DataFrame:
             out = [(ids.iat[i], pdf["version"].iat[i], np.int64(np.uint64(set_name(g)).view(np.int64)), signed(band_hashes(g, factors, bands, rows))) for i, g in _sets(pdf["text"].tolist(), p.n)]
             yield pd.DataFrame(out, columns=["doc_id", "version", "class", "bands"]).astype({"doc_id": "Int64"})
 
-    return _picked(docs).mapInPandas(run, "doc_id long, version long, class long, bands array<long>")
+    return _picked(docs).mapInPandas(lean(run), "doc_id long, version long, class long, bands array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
     spread = classes.select(F.explode("bands").alias("bucket"), "class")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(parts, "bucket").mapInPandas(run, "bucket long, class long, least long")
+    return spread.repartition(parts, "bucket").mapInPandas(lean(run), "bucket long, class long, least long")
 
 
 def _tiles(in_bucket: DataFrame, p: JoinParams) -> DataFrame:
@@ -186,7 +186,7 @@ def _tiles(in_bucket: DataFrame, p: JoinParams) -> DataFrame:
             yield pd.DataFrame(rows, columns=["tile", "members", "cut"])
 
     n = int(in_bucket.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return in_bucket.join(block, "class").select("bucket", "block", "class").repartition(n, "bucket").mapInPandas(run, "tile long, members array<long>, cut int")
+    return in_bucket.join(block, "class").select("bucket", "block", "class").repartition(n, "bucket").mapInPandas(lean(run), "tile long, members array<long>, cut int")
 
 
 @dataclass
@@ -245,9 +245,6 @@ def _verify(loaded: dict[int, tuple[np.ndarray, int]], buckets: list[tuple[np.nd
     return out
 
 
-LINK = ["class_a", "class_b", "links", "jaccard"]
-
-
 def _classes(docs: DataFrame, p: JoinParams, want: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, version and class of every row with words, and what the tiles give: edges (class_a, class_b), links (class_a, links), and pairs."""
     rows = materialize(signatures(docs, p), "signatures")
@@ -279,36 +276,46 @@ def _classes(docs: DataFrame, p: JoinParams, want: str) -> tuple[DataFrame, Data
     shape = "tile long, class long, n long, grams binary, members array<long>, cut int"
     texts = _picked(docs)
     same = texts["doc_id"].eqNullSafe(place["doc_id"]) & (texts["version"] == place["version"])
-    sets = texts.join(place, same).select("text", "wanted").mapInPandas(load, shape)
+    sets = texts.join(place, same).select("text", "wanted").mapInPandas(lean(load), shape)
     none = F.lit(None)
     lists = tiles.select("tile", F.lit(0).cast("long").alias("class"), F.lit(0).cast("long").alias("n"), none.cast("binary").alias("grams"), "members", "cut")
 
-    def frame(v: Verified) -> pd.DataFrame:
-        some = np.flatnonzero(v.links)
-        parts = [
-            pd.DataFrame({"class_a": v.names[some], "class_b": None, "links": v.links[some], "jaccard": None}),
-            pd.DataFrame([(a, b, None, None) for a, b in v.forest], columns=LINK),
-            pd.DataFrame([(a, b, None, s) for a, b, s in v.pairs], columns=LINK),
-        ]
-        return pd.concat([x.astype({"class_a": "int64", "class_b": "Int64", "links": "Int64", "jaccard": "Float64"}) for x in parts if len(x)] or [pd.DataFrame([], columns=LINK)])
+    def frame(held: list[Verified]) -> pd.DataFrame:
+        edges = np.array([e for v in held for e in v.forest], np.int64).reshape(-1, 2)
+        pairs = [x for v in held for x in v.pairs]
+        some = [np.flatnonzero(v.links) for v in held]
+        names, links = (np.concatenate([getattr(v, f)[i] for v, i in zip(held, some, strict=True)]) for f in ("names", "links"))
+        n, rest = len(names), len(edges)
+        out = pd.DataFrame({"class_a": np.concatenate([names, edges[:, 0], np.array([a for a, _, _ in pairs], np.int64)])})
+        for column, at, values in (("class_b", n, [*edges[:, 1], *(b for _, b, _ in pairs)]), ("links", 0, links), ("jaccard", n + rest, [x for _, _, x in pairs])):
+            out[column] = pd.array([None] * len(out), "Float64" if column == "jaccard" else "Int64")
+            out.loc[at : at + len(values) - 1, column] = values
+        return out
 
     def verify(batches):
         tile, loaded, buckets = None, {}, []
+        held, size = [], 0
         for pdf in batches:
             for t, c, n, g, m, cut in zip(pdf["tile"].tolist(), pdf["class"], pdf["n"], pdf["grams"], pdf["members"], pdf["cut"], strict=True):
                 if t != tile:
                     if loaded:
-                        yield frame(_verify(loaded, buckets, p.threshold, want))
+                        held.append(_verify(loaded, buckets, p.threshold, want))
+                        size += len(held[-1].names) + len(held[-1].pairs)
+                        if size > 50_000:
+                            yield frame(held)
+                            held, size = [], 0
                     tile, loaded, buckets = t, {}, []
                 if g is not None:
                     loaded[int(c)] = np.frombuffer(g, np.uint64), int(n)
                 else:
                     buckets.append((np.asarray(m), int(cut)))
         if loaded:
-            yield frame(_verify(loaded, buckets, p.threshold, want))
+            held.append(_verify(loaded, buckets, p.threshold, want))
+        if held:
+            yield frame(held)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = sets.unionByName(lists).repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(verify, "class_a long, class_b long, links long, jaccard double")
+    given = sets.unionByName(lists).repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(lean(verify), "class_a long, class_b long, links long, jaccard double")
     return rows.select("doc_id", "version", "class"), materialize(given, "links")
 
 

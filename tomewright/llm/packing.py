@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .tokenizer import TokenizerParams, encode_list
+from .text import lean
+from .tokenizer import TokenizerParams, encode_list, ship
 
 ROWS = "window_id long, doc_id long, doc_from long, doc_to long, at int, tokens array<int>, is_open boolean"
 
@@ -103,6 +104,7 @@ def merge_leftovers(fills: list[tuple[int, int]], size: int) -> list[tuple[int,
 
 def pack_documents(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
     """window_id, doc_id, doc_from, doc_to, at, tokens: where the tokens of every document go, and the tokens."""
+    ship(docs.sparkSession, p.tokenizer)
 
     def frame(rows: list[tuple], is_open: bool) -> pa.RecordBatch:
         window, doc, a, b, at, tokens = zip(*rows, strict=True)
@@ -136,10 +138,10 @@ def pack_documents(docs: DataFrame, p: PackingParams = PackingParams()) -> DataF
         fills = [x for pdf in batches for x in zip(pdf["window_id"].tolist(), pdf["fill"].tolist(), strict=True)]
         yield pd.DataFrame(merge_leftovers(fills, p.window), columns=["window_id", "target", "shift"])
 
-    pieces = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ROWS), "packing")
+    pieces = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), ROWS), "packing")
     left = pieces.where("is_open")
     fills = left.groupBy("window_id").agg(F.max(F.col("at") + F.col("doc_to") - F.col("doc_from")).cast("int").alias("fill"))
     groups = -(-max(1, left.select("window_id").distinct().count()) // p.merge_group)
-    targets = fills.repartition(groups, "window_id").mapInPandas(merge, "window_id long, target long, shift int")
+    targets = fills.repartition(groups, "window_id").mapInPandas(lean(merge), "window_id long, target long, shift int")
     moved = left.join(targets, "window_id").select(F.col("target").alias("window_id"), "doc_id", "doc_from", "doc_to", (F.col("at") + F.col("shift")).alias("at"), "tokens")
     return pieces.where("NOT is_open").drop("is_open").unionByName(moved)

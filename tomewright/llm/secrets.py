@@ -5,7 +5,8 @@ characters of a key alphabet that hold a digit or both cases in a row (`aB`), va
 or more characters assigned to a name that holds a word such as `token`, private key
 blocks (encrypted ones too), and passwords of 4 or more characters in URLs. They are read
 alike by Spark (the test in front) and by Python: character classes are ASCII in both. A
-run of letters of one case is a word unless it is assigned to a name.
+run of letters of one case is a word unless it is assigned to a name. What begins with the
+mark that `redact` leaves is no value, so a second pass finds nothing new.
 
 The network (numpy) reads `before` characters, a window of `inside` characters of the
 candidate and `after` characters; a candidate longer than a window is read in overlapping
@@ -15,7 +16,8 @@ one at which at least `recall` of the held-out secrets of that kind are kept (of
 kinds together where a kind has fewer than `least_held`).
 
 Defined results: null or empty text has no candidates; a very long text is read whole;
-all candidates are scored, and of accepted ones that overlap the longest counts, of
+candidates of one kind don't overlap (an assignment within a value is read as part of
+it); all candidates are scored, and of accepted ones that overlap the longest counts, of
 equally long ones the earlier kind, then the earlier place; equal texts in repeated rows
 give equal findings, one set a row; findings carry a SHA-256 of the secret and never the
 secret; a null doc_id stays null; an empty table gives an empty result; other columns are
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,16 +38,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import free_name
+from .text import lean
 
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|[A-Za-z+/_\-]*[a-z][A-Z])[A-Za-z0-9+/_\-]{16,}={0,2}"
 _NAMES = "token|secret|passwd|password|pwd|api[_\\-]?key|access[_\\-]?key|credential"
 ASSIGNED = rf"(?i:(?<![\w\-])(?=[\w\-]*?(?:{_NAMES}))[\w\-]++[\"']?\]?\s*+[:=]++>?\s*+[\"']?)"
 KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----\s*+(?:[A-Za-z\-]++:[^\n]*+\n\s*+)*+[A-Za-z0-9+/=\s\\]{16,}"
-IN_URL = r"://[^\s:/@]*+:[^\s/@]{4,}@"
+MARK = "[SECRET]"
+_NOT_MARK = rf"(?!{re.escape(MARK)})"
+VALUE = rf"{_NOT_MARK}[^\s\"',;<>]{{6,}}"
+IN_URL = rf"://[^\s:/@]*+:{_NOT_MARK}[^\s/@]{{4,}}@"
 _PATTERNS = {
     "key_block": re.compile(KEY_BLOCK, re.ASCII),
-    "in_url": re.compile(r"://[^\s:/@]*+:([^\s/@]{4,})@", re.ASCII),
-    "assigned": re.compile(ASSIGNED + r"([^\s\"',;<>]{6,})", re.ASCII),
+    "in_url": re.compile(IN_URL.replace(":(?!", ":((?!", 1).replace("{4,}@", "{4,})@"), re.ASCII),
+    "assigned": re.compile(f"{ASSIGNED}({VALUE})", re.ASCII),
     "run": re.compile(RUN, re.ASCII),
 }
 KINDS = tuple(_PATTERNS)
@@ -319,7 +326,7 @@ def may_hold(text: Column) -> Column:
     """True where a text has a candidate. The cheap test in front of each pattern is one that all its candidates pass."""
     tests = [
         text.rlike(RUN),
-        (text.contains("=") | text.contains(":")) & text.rlike(ASSIGNED + r"[^\s\"',;<>]{6,}"),
+        (text.contains("=") | text.contains(":")) & text.rlike(ASSIGNED + VALUE),
         text.contains("-----BEGIN ") & text.rlike(KEY_BLOCK),
         text.contains("://") & text.rlike(IN_URL),
     ]
@@ -342,21 +349,25 @@ def scan(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
             yield out
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(may_hold(F.col("text")))
-    return picked.mapInPandas(run, "doc_id bigint, start long, end long, kind string, probability double, sha256 string")
+    return picked.mapInPandas(lean(run), "doc_id bigint, start long, end long, kind string, probability double, sha256 string")
 
 
-def redact(docs: DataFrame, model: SecretModel | None = None, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: SecretModel | None = None, mark: str = MARK) -> DataFrame:
     """docs with every found secret replaced by `mark`, and n_chars (if there) brought up to date; all rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
+    def blot(batches):
+        for text in batches:
+            texts, out = text.tolist(), []
+            for t, own in zip(texts, find(texts, shared.value), strict=True):
+                for a, b, _, _ in reversed(own):
+                    t = t[:a] + mark + t[b:]
+                out.append(t)  # null stays null
+            yield pd.Series(out, dtype=object)
+
     @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        texts, out = text.tolist(), []
-        for t, own in zip(texts, find(texts, shared.value), strict=True):
-            for a, b, _, _ in reversed(own):
-                t = t[:a] + mark + t[b:]
-            out.append(t)  # null stays null
-        return pd.Series(out, dtype=object)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(blot)(batches)
 
     # texts without a candidate don't go to Python
     name = free_name("clean", docs.columns)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import squeeze, unsqueeze
 from .store import materialize
-from .text import RunHash, Words, chunks, gram_hashes, signed
+from .text import RunHash, Words, chunks, gram_hashes, lean, signed
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def edges(docs: DataFrame, p: SubstringParams) -> DataFrame:
                 rows.append((pdf["doc_id"].iat[i], pdf["version"].iat[i], es))
             yield pd.DataFrame(rows, columns=["doc_id", "version", "es"])
 
-    return _picked(docs).mapInPandas(run, f"doc_id long, version long, es array<struct<{EDGE.replace(' ', ':').replace(',:', ',')}>>")
+    return _picked(docs).mapInPandas(lean(run), f"doc_id long, version long, es array<struct<{EDGE.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def links(occurrences: DataFrame, parts: int) -> DataFrame:
@@ -137,7 +137,7 @@ def links(occurrences: DataFrame, parts: int) -> DataFrame:
         next_ = (doc[1:] == doc[:-1]) & (version[1:] == version[:-1]) & (number[1:] == number[:-1] + 1)
         yield pd.DataFrame({"a": edge[:-1][next_], "b": edge[1:][next_]}).drop_duplicates()
 
-    return occurrences.select("doc_id", "version", "number", "edge").repartition(parts, "doc_id").mapInPandas(run, "a long, b long").distinct()
+    return occurrences.select("doc_id", "version", "number", "edge").repartition(parts, "doc_id").mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def compact(edges_: DataFrame, links_: DataFrame) -> DataFrame:
@@ -293,9 +293,9 @@ def _confirmed(asked: DataFrame, p: SubstringParams, parts: int) -> DataFrame:
         if held:
             yield spans_of(names, held)
 
-    runs = asked.select("doc_id", "version", "text", "first", "last", "low", "high").mapInPandas(hashed, RUNS)
-    kept = runs.repartitionById(parts, "bucket").mapInPandas(confirm, "segment long, kind int, low binary, high binary, text binary, at binary")
-    return kept.repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(spans, "doc_id long, version long, start long, end long")
+    runs = asked.select("doc_id", "version", "text", "first", "last", "low", "high").mapInPandas(lean(hashed), RUNS)
+    kept = runs.repartitionById(parts, "bucket").mapInPandas(lean(confirm), "segment long, kind int, low binary, high binary, text binary, at binary")
+    return kept.repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(lean(spans), "doc_id long, version long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
@@ -315,7 +315,7 @@ def repeated_spans(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "version": pdf["version"], "units": [u for u, _ in made], "pieces": [x for _, x in made]})
 
     shape = "doc_id long, version long, units array<struct<unit:long,first:int,last:int>>, pieces array<struct<edge:long,first:int,last:int,unit:long>>"
-    along = materialize(placed.select("doc_id", "version", *[F.col(f"es.{f}").alias(f) for f in fields]).mapInPandas(follow, shape), "along")
+    along = materialize(placed.select("doc_id", "version", *[F.col(f"es.{f}").alias(f) for f in fields]).mapInPandas(lean(follow), shape), "along")
     units, pieces = (along.select("doc_id", "version", F.inline(c)) for c in ("units", "pieces"))
     whole = materialize(units.groupBy("unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"), "whole")
     inside = pieces.where("unit IS NOT NULL")
@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "start": start, "end": end, "n_words": end - start})
 
     spans = runs.unionByName(across).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    return spans.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end")).mapInPandas(merge, "doc_id long, start long, end long, n_words long").distinct()
+    return spans.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end")).mapInPandas(lean(merge), "doc_id long, start long, end long, n_words long").distinct()
 
 
 def oracle(least_words: int = 50) -> str:

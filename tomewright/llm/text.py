@@ -8,6 +8,7 @@ Python step per word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,35 @@ MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 CHUNK_BYTES = 1_000_000
 
 
+def trim() -> None:
+    """Gives memory that isn't used any more back to the system, as Python workers live on after their tasks."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
+def lean(run):
+    """A function over a task's batches that trims memory after each of them."""
+
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            trim()
+
+    def trimmed(batches):
+        try:
+            yield from run(each(batches))
+        finally:
+            trim()
+
+    return trimmed
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value over all others."""
     x = x ^ (x >> np.uint64(30))

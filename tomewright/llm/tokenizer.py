@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import os
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
 class TokenizerParams:
-    """path: a file of `base64 rank` lines on every executor; separator: the id put after each document.
+    """path: a file of `base64 rank` lines, which the driver ships to the executors; separator: the id put after each document.
     The pattern is the vocabulary's own, with possessive quantifiers, which split alike and faster."""
 
     path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -18,6 +21,11 @@ class TokenizerParams:
     separator: int = 50256
 
 
+def ship(spark: SparkSession, p: TokenizerParams) -> None:
+    """Sends the vocabulary file to all executors, which need not have it."""
+    spark.sparkContext.addFile(p.path)
+
+
 def load(p: TokenizerParams):
     """The vocabulary, kept by the library for the life of a Python worker."""
     import tiktoken
@@ -25,7 +33,7 @@ def load(p: TokenizerParams):
 
     name = f"{p.path}\n{p.pattern}"
     if name not in registry.ENCODINGS:
-        with open(p.path, "rb") as f:
+        with open(p.path if os.path.exists(p.path) else SparkFiles.get(os.path.basename(p.path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         registry.ENCODINGS[name] = tiktoken.Encoding(p.path, pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
     return registry.ENCODINGS[name]

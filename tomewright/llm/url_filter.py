@@ -5,14 +5,18 @@ fragment) and expanded into every host suffix of two labels or more, combined wi
 its exact path and query, its path, and every directory above it. The expressions
 meet the rules on the first 4 bytes of their SHA-256 (an equi-join that moves few
 bytes); full digests are then compared. Of the rules that match, the longest host
-wins, then the longest path, then `allow` over `block`, then the lower rule_id.
+wins, then the longest path, then `allow` over `block`, then the lower rule_id, then
+the first category in order. A pattern without a slash is a host: it stands for all its pages.
 
 Expansion stops at the greatest host and path depth that any rule has, which
 can't lose a match. Each distinct URL is expanded once.
 
 Defined results: a null or empty URL, or one without a host, matches nothing and
 gets action `none`; a host that is an IPv4 address has no suffixes but itself;
-rules with a null pattern or an action other than allow and block are ignored;
+rules with a null or empty pattern, one that begins with a slash, or an action other
+than allow and block are ignored; a null rule_id comes last; rules that repeat a
+rule_id count each; without rules, or pages, every page (or none) gets `none`; a very
+long URL is expanded as deep as the rules go;
 repeated rows get the same decision each; other columns of the rows stay out of the
 result; a null page_id stays null.
 """
@@ -71,15 +75,16 @@ def expand(urls: DataFrame, host_depth: int, path_depth: int) -> DataFrame:
 
 def decide(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, url, action, rule_id, category: one row a page."""
-    usable = rules.where("pattern IS NOT NULL AND instr(pattern, '/') > 1 AND action IN ('allow', 'block')").select("rule_id", F.lower(F.substring_index("pattern", "/", 1)).alias("h"), F.expr("substring(pattern, instr(pattern, '/'))").alias("p"), "action", "category")
+    named = rules.withColumn("pattern", F.when(F.instr("pattern", "/") == 0, F.concat("pattern", F.lit("/"))).otherwise(F.col("pattern")))
+    usable = named.where("pattern IS NOT NULL AND instr(pattern, '/') > 1 AND action IN ('allow', 'block')").select("rule_id", F.lower(F.substring_index("pattern", "/", 1)).alias("h"), F.expr("substring(pattern, instr(pattern, '/'))").alias("p"), "action", "category")
     usable = usable.withColumn("digest", F.sha2(F.concat("h", "p"), 256))
     depth = usable.agg(F.max(F.size(F.split("h", r"\."))).alias("h"), F.max(F.size(F.split("p", "/")) - 1).alias("p")).first()
     listed = usable.select(F.substring("digest", 1, 8).alias("key"), "digest", "rule_id", "action", "category")
     urls = pages.select("url").where("url IS NOT NULL").distinct()
     tried = expand(urls, depth["h"] or 2, depth["p"] or 1).withColumn("own", F.sha2("expression", 256)).withColumn("key", F.substring("own", 1, 8))
     matched = tried.drop("expression").join(listed, "key").where("own = digest")
-    order = F.struct("host_length", "path_length", (F.col("action") == "allow").alias("allows"), (-F.col("rule_id")).alias("first"))
-    best = matched.groupBy("url").agg(F.max_by(F.struct("action", "rule_id", "category"), order).alias("won"))
+    order = F.struct(-F.col("host_length"), -F.col("path_length"), F.col("action"), F.col("rule_id").isNull(), F.col("rule_id"), F.coalesce("category", F.lit("")))
+    best = matched.groupBy("url").agg(F.min_by(F.struct("action", "rule_id", "category"), order).alias("won"))
     out = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url").join(best, "url", "left")
     return out.select("page_id", "url", F.coalesce("won.action", F.lit("none")).alias("action"), F.col("won.rule_id").alias("rule_id"), F.col("won.category").alias("category"))
 

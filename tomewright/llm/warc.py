@@ -1,21 +1,29 @@
 """WARC: a sequential reader of gzipped archives, one gzip member per record, and a writer.
 
 The reader decompresses in small steps (zlib, no whole file in memory), finds the
-end of a record's content by its Content-Length and checks WARC-Block-Digest
-(SHA-1, base32). One task reads a file from start to end; files are the unit of
-parallelism.
+end of a record's content by its Content-Length and checks WARC-Block-Digest (SHA-1,
+SHA-256, SHA-512 or MD5, in base32, hexadecimal or base64, in any case where the
+coding has none). One task reads a file from start to end; files are the unit of
+parallelism. A member is inflated up to `MOST_BYTES`, which bounds what a broken or
+hostile one can take.
 
 Defined results: a record whose digest differs has digest_ok false, one without a
-digest null; a broken record has `error` set, and the reader goes on at the next
-gzip member where one can be found; an empty file has no records. The writer
-writes one response record a row; null html has an empty body, null url no
-WARC-Target-URI, and a null page_id no X-Page-Id; other columns are not touched.
+digest, or of an algorithm that isn't known here, null; a broken record has `error`
+set (a member beyond MOST_BYTES, a Content-Length that is no ASCII number or longer
+than the content, missing ends), and the reader goes on at the next gzip member where
+one can be found; an X-Page-Id that is no 64-bit number is null; repeated headers: the
+last counts; an empty file has no records; an empty table writes files without
+records. The writer writes one response record a row, repeated rows one each; a very
+long page is one record; null html has an empty body, null url no WARC-Target-URI, and
+a null page_id no X-Page-Id; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import filesystem, materialize, shared_folder
+from .text import lean
 
 SCHEMA = "file string, record long, at long, kind string, uri string, page_id long, length long, digest_ok boolean, payload binary, error string"
 STEP = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
+#: The most that one value of a row can hold.
+MOST_BYTES = (1 << 31) - (1 << 16)
 
 
 @dataclass
@@ -46,6 +57,23 @@ def digest(content: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(content).digest()).decode()
 
 
+def digest_ok(said: str | None, content: bytes) -> bool | None:
+    """Whether a digest of the form `algorithm:value` is the content's; null if there is none or none that can be checked."""
+    name, mark, value = (said or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not mark or name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    own, value = hashlib.new(name, content).digest(), value.strip()
+    if re.fullmatch(f"[0-9A-Fa-f]{{{2 * len(own)}}}", value):
+        return value.lower() == own.hex()
+    if value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("="):
+        return True
+    try:
+        return base64.b64decode(value + "=" * (-len(value) % 4), altchars=b"-_" if re.search("[-_]", value) else None) == own
+    except (binascii.Error, ValueError):
+        return False
+
+
 def members(stream) -> Iterator[tuple[int, bytes, str | None]]:
     """(offset, content, error) of each gzip member; after a broken one, goes on at the next magic number."""
     held, base, eof = b"", 0, False
@@ -58,7 +86,7 @@ def members(stream) -> Iterator[tuple[int, bytes, str | None]]:
             return
         start, parts, error, used = base, [], None, 0
         inflate = zlib.decompressobj(31)
-        pending = held
+        pending, held_bytes = held, 0
         try:
             while not inflate.eof:
                 if not pending:
@@ -66,7 +94,10 @@ def members(stream) -> Iterator[tuple[int, bytes, str | None]]:
                     if not pending:
                         eof, error = True, "truncated gzip member"
                         break
-                parts.append(inflate.decompress(pending))
+                parts.append(inflate.decompress(pending, MOST_BYTES - held_bytes + 1))
+                held_bytes += len(parts[-1])
+                if held_bytes > MOST_BYTES:
+                    raise zlib.error(f"member of more than {MOST_BYTES} bytes")
                 used += len(pending)
                 pending = b""
         except zlib.error as e:
@@ -106,15 +137,21 @@ def parse(at: int, raw: bytes, error: str | None) -> Record:
     if not mark or not lines[0].startswith("WARC/"):
         return Record(at, headers, b"", None, "no WARC header")
     size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", size, re.ASCII):
         return Record(at, headers, b"", None, "no Content-Length")
     if len(body) < int(size):
         return Record(at, headers, b"", None, "content is shorter than Content-Length")
     content, rest = body[: int(size)], body[int(size) :]
     if rest != b"\r\n\r\n":
         return Record(at, headers, content, None, "record doesn't end with two line ends")
-    said = headers.get("warc-block-digest")
-    return Record(at, headers, content, None if said is None else said == digest(content))
+    return Record(at, headers, content, digest_ok(headers.get("warc-block-digest"), content))
+
+
+def page_number(text: str) -> int | None:
+    """A 64-bit number in ASCII digits; null for anything else."""
+    if not re.fullmatch("-?[0-9]{1,19}", text, re.ASCII):
+        return None
+    return n if -(2**63) <= (n := int(text)) < 2**63 else None
 
 
 def read_records(stream) -> Iterator[Record]:
@@ -157,7 +194,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         yield pd.DataFrame({"file": [f"{folder}/{name}"], "records": [n], "bytes": [size]})
 
     picked = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    return picked.mapInPandas(run, "file string, records long, bytes long")
+    return picked.mapInPandas(lean(run), "file string, records long, bytes long")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -167,9 +204,8 @@ def read_warc(files: DataFrame) -> DataFrame:
         fs, path = filesystem(name)
         with fs.open_input_stream(path, compression=None, buffer_size=0) as stream:
             for n, r in enumerate(read_records(stream)):
-                page = r.headers.get("x-page-id", "")
                 http = r.headers.get("content-type", "").startswith("application/http")
-                yield name, n, r.at, r.headers.get("warc-type"), r.headers.get("warc-target-uri"), int(page) if page.lstrip("-").isdigit() else None, len(r.content), r.digest_ok, http_body(r.content) if http else r.content, r.error
+                yield name, n, r.at, r.headers.get("warc-type"), r.headers.get("warc-target-uri"), page_number(r.headers.get("x-page-id", "")), len(r.content), r.digest_ok, http_body(r.content) if http else r.content, r.error
 
     def frame(held: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(held, columns=["file", "record", "at", "kind", "uri", "page_id", "length", "digest_ok", "payload", "error"], dtype=object)
@@ -188,7 +224,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                 if held:
                     yield frame(held)
 
-    return files.select("file").mapInPandas(run, SCHEMA)
+    return files.select("file").mapInPandas(lean(run), SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -4,17 +4,17 @@ A shard file holds the token ids of its documents as one bit-plane a bit of the
 vocabulary, most significant first; at each plane the ids with a 0 bit move in front
 of those with a 1, in order. Planes are cut into blocks that are compressed one by
 one; a directory gives each block's place and the number of 1 bits before it, so
-rank and select read single blocks. From the file alone follow: the id at a
-position (`access`), the number of times an id occurs in a range (`count`), and
-where it occurs (`occurrences`).
+rank and select read single blocks, in which they count by bytes. From the file alone
+follow: the ids at positions (`access`), the number of times ids occur in ranges
+(`counts`), and where an id occurs (`occurrences`); each takes many positions at once.
 
 A shard is cut at document ends after `shard_tokens` tokens; nothing is shuffled. A
 file appears under its name only when it is complete, so a repeated task does no harm.
 
 Defined results: a null or empty text is a document of the separator alone; a
 document longer than shard_tokens has a shard of its own; a null doc_id is kept as
-null; repeated rows are stored each; an empty table has no shards; other columns are
-not touched.
+null; repeated rows are stored each, and their order (there are no ties) is that of the
+partition; an empty table has no shards; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import filesystem, materialize, shared_folder
-from .tokenizer import TokenizerParams, encode
+from .text import lean
+from .tokenizer import TokenizerParams, encode, ship
 
 MAGIC = b"WVLT0001"
 NO_ID = -(2**63)
@@ -68,6 +69,34 @@ def planes(ids: np.ndarray, bits: int):
         a, b = b, (np.empty_like(a) if a is ids else a)
 
 
+def fingerprints(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One number a document, from its ids and their places, so that a changed order changes it."""
+    out = np.zeros(len(starts), np.uint64)
+    ends = np.append(starts[1:], len(ids))
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
+        w = np.arange(starts[at], ends[to - 1], dtype=np.uint64)
+        w *= np.uint64(0x9E3779B97F4A7C15)
+        w += np.uint64(0xBF58476D1CE4E5B9)
+        w *= ids[starts[at] : ends[to - 1]].astype(np.uint64) + np.uint64(1)
+        out[at:to] = np.add.reduceat(w, starts[at:to] - starts[at])
+        at = to
+    return out.view(np.int64)
+
+
+def _select_table() -> np.ndarray:
+    """[byte, j]: the place of the j-th 1 bit of a byte."""
+    out = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        at = [i for i in range(8) if byte >> i & 1]
+        out[byte, : len(at)] = at
+    return out
+
+
+SELECT = _select_table()
+
+
 def encode_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, p: WaveletParams) -> bytes:
     """The bytes of a shard file. starts: first token of each document."""
     import zstandard
@@ -82,8 +111,7 @@ def encode_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, p: Wa
         directory.append({"zeros": zeros, "at": np.cumsum([at, *map(len, blocks)]).tolist(), "ones": np.concatenate([[0], np.cumsum(ones)]).tolist()})
         at += sum(map(len, blocks))
         parts += blocks
-    sums = np.add.reduceat(a, starts, dtype=np.int64) if len(starts) else np.empty(0, np.int64)
-    docs = compress(np.stack([doc_ids, starts, sums]).astype(np.int64).tobytes())
+    docs = compress(np.stack([doc_ids, starts, fingerprints(a, starts)]).astype(np.int64).tobytes())
     head = compress(json.dumps({"n": len(a), "bits": bits, "block_bits": p.block_bits, "docs": len(docs), "planes": directory}).encode())
     body = MAGIC + struct.pack("<I", len(head)) + head + docs + b"".join(parts)
     return body + struct.pack("<I", zlib.crc32(body))
@@ -103,7 +131,7 @@ class Shard:
         self.n, self.bits, self.block_bits, self.planes = head["n"], head["bits"], head["block_bits"], head["planes"]
         for x in self.planes:
             x["ones"] = np.array(x["ones"], np.int64)
-        self.doc_ids, self.starts, self.sums = np.frombuffer(self._inflate(read(12 + n, head["docs"])), np.int64).reshape(3, -1)
+        self.doc_ids, self.starts, self.fingerprints = np.frombuffer(self._inflate(read(12 + n, head["docs"])), np.int64).reshape(3, -1)
         self._base, self.size = 12 + n + head["docs"], size
         self.block = lru_cache(64)(self._block)
 
@@ -119,58 +147,92 @@ class Shard:
         return np.frombuffer(self._inflate(self._read(self._base + at[block], at[block + 1] - at[block])), np.uint8)
 
     def _block(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.unpackbits(self._packed(level, block), bitorder="little")
-        return bits, np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
-
-    def rank1(self, level: int, i: int) -> int:
-        """1 bits before position i."""
-        b, r = divmod(i, self.block_bits)
+        """Bytes of a block and the number of 1 bits before each."""
+        packed = self._packed(level, block)
+        return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
+
+    def _by_block(self, blocks: np.ndarray):
+        """(block, range of places) of each run of equal blocks; blocks ascends."""
+        if not len(blocks):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        for x, y in zip(cut, np.append(cut[1:], len(blocks)), strict=True):
+            yield int(blocks[x]), slice(x, y)
+
+    def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
+        """1 bits before each position; positions may come in any order."""
+        order = np.argsort(at, kind="stable")
+        i = at[order]
+        b, r = i // self.block_bits, i % self.block_bits
         ones = self.planes[level]["ones"]
-        return int(ones[b] + (self.block(level, b)[1][r] if r else 0))
+        found = ones[b].copy()
+        inside = np.flatnonzero(r)
+        for block, own in self._by_block(b[inside]):
+            packed, before = self.block(level, block)
+            q = r[inside[own]]
+            byte = packed[np.minimum(q >> 3, len(packed) - 1)] & ((1 << (q & 7)) - 1).astype(np.uint8)
+            found[inside[own]] += before[q >> 3] + np.bitwise_count(byte)
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
-    def select(self, level: int, bit: int, j: int) -> int:
-        """Position of the j-th (from 0) bit of this value."""
+    def select(self, level: int, bit: int, j: np.ndarray) -> np.ndarray:
+        """Positions of the j-th (from 0) bits of this value; j ascends."""
         ones = self.planes[level]["ones"]
         before = ones if bit else np.minimum(np.arange(len(ones)) * self.block_bits, self.n) - ones
-        b = int(np.searchsorted(before, j, "right")) - 1
-        return b * self.block_bits + int(np.flatnonzero(self.block(level, b)[0] == bit)[j - before[b]])
+        b = np.searchsorted(before, j, "right") - 1
+        out = np.empty(len(j), np.int64)
+        for block, own in self._by_block(b):
+            packed, held = self.block(level, block)
+            if not bit:
+                packed, held = ~packed, 8 * np.arange(len(held)) - held
+            q = j[own] - before[block]
+            byte = np.searchsorted(held, q, "right") - 1
+            out[own] = block * self.block_bits + 8 * byte + SELECT[packed[byte], q - held[byte]]
+        return out
 
-    def access(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        value = 0
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The ids at these positions."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
+            raise IndexError(at)
+        value = np.zeros(len(at), np.int64)
         for level, plane in enumerate(self.planes):
-            b, r = divmod(i, self.block_bits)
-            bit, ones = int(self.block(level, b)[0][r]), self.rank1(level, i)
+            ones = self.rank1(level, at)
+            bit = self.rank1(level, at + 1) - ones
             value = value * 2 + bit
-            i = plane["zeros"] + ones if bit else i - ones
+            at = np.where(bit == 1, plane["zeros"] + ones, at - ones)
         return value
 
-    def _descend(self, token: int, a: int, b: int) -> tuple[int, int]:
+    def _descend(self, tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for level, plane in enumerate(self.planes):
-            x, y = self.rank1(level, a), self.rank1(level, b)
-            a, b = (plane["zeros"] + x, plane["zeros"] + y) if token >> (self.bits - 1 - level) & 1 else (a - x, b - y)
+            ranks = self.rank1(level, np.concatenate([a, b]))
+            x, y = ranks[: len(a)], ranks[len(a) :]
+            one = tokens >> (self.bits - 1 - level) & 1 == 1
+            a, b = np.where(one, plane["zeros"] + x, a - x), np.where(one, plane["zeros"] + y, b - y)
         return a, b
 
+    def counts(self, tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Times that each token occurs in positions [a, b) of its own."""
+        tokens = np.asarray(tokens, np.int64)
+        known = (tokens >= 0) & (tokens >> self.bits == 0)
+        x, y = self._descend(np.where(known, tokens, 0), np.asarray(a, np.int64), np.asarray(b, np.int64))
+        return np.where(known, y - x, 0)
+
     def count(self, token: int, a: int = 0, b: int | None = None) -> int:
         """Times that the token occurs in positions [a, b)."""
-        if token < 0 or token >> self.bits:
-            return 0
-        a, b = self._descend(token, a, self.n if b is None else b)
-        return b - a
+        return int(self.counts(np.array([token]), np.array([a]), np.array([self.n if b is None else b]))[0])
 
-    def occurrences(self, token: int, a: int = 0, b: int | None = None) -> list[int]:
-        """Positions in [a, b) at which the token occurs, ascending."""
+    def occurrences(self, token: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Positions in [a, b) at which the token occurs, ascending. All hits go up a plane at once."""
         if token < 0 or token >> self.bits:
-            return []
-        low, high = self._descend(token, a, self.n if b is None else b)
-        out = []
-        for i in range(low, high):
-            for level in range(self.bits - 1, -1, -1):
-                bit = token >> (self.bits - 1 - level) & 1
-                i = self.select(level, bit, i - self.planes[level]["zeros"] if bit else i)
-            out.append(i)
-        return out
+            return np.empty(0, np.int64)
+        low, high = (int(x[0]) for x in self._descend(np.array([token]), np.array([a]), np.array([self.n if b is None else b])))
+        at = np.arange(low, high)
+        for level in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - level) & 1
+            at = self.select(level, bit, at - self.planes[level]["zeros"] if bit else at)
+        return at
 
     def decode(self) -> np.ndarray:
         """All token ids, plane by plane from the last to the first."""
@@ -192,6 +254,8 @@ class Shard:
 def write_shards(docs: DataFrame, folder: str, p: WaveletParams = WaveletParams()) -> DataFrame:
     """Writes the shard files below `folder`; gives a table of file, documents, tokens and bytes."""
 
+    ship(docs.sparkSession, p.tokenizer)
+
     def run(batches):
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
@@ -221,7 +285,7 @@ def write_shards(docs: DataFrame, folder: str, p: WaveletParams = WaveletParams(
             yield flush()
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialize(picked.mapInPandas(run, "file string, documents long, tokens long, bytes long"), "shards")
+    return materialize(picked.mapInPandas(lean(run), "file string, documents long, tokens long, bytes long"), "shards")
 
 
 def open_shard(name: str) -> Shard:
@@ -236,20 +300,33 @@ def open_shard(name: str) -> Shard:
     return Shard(read, f.size())
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, shard, start, n_tokens and token_sum of every document, all read back from the files, and whether the sum is the one stored when it was written."""
+def read_documents(files: DataFrame, separator: int) -> DataFrame:
+    """doc_id, shard, start, n_tokens, token_sum, first_token, n_first, fingerprint and intact of every document, from the files alone.
+
+    Documents end where the separator occurs (by select); first_token is read by access and counted in its document
+    by rank; sums and fingerprints come from the whole of the decoded ids. intact: the file's checksum, the ends, the
+    order of the ids and the first token all agree."""
 
     def run(batches):
         for pdf in batches:
             for name in pdf["file"]:
                 s = open_shard(name)
-                sums = np.add.reduceat(s.decode(), s.starts, dtype=np.int64)
-                yield pd.DataFrame({"doc_id": pd.array(s.doc_ids, "Int64"), "shard": name.rsplit("/", 1)[1], "start": s.starts, "n_tokens": np.diff(np.append(s.starts, s.n)), "token_sum": sums, "intact": (sums == s.sums) & s.intact()}).assign(doc_id=lambda x: x["doc_id"].mask(x["doc_id"] == NO_ID))
+                ends = s.occurrences(separator) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+                same = s.intact() and s.count(separator) == len(s.starts) and np.array_equal(starts, s.starts) and ends[-1] == s.n
+                if not same:
+                    starts, ends = s.starts, np.append(s.starts[1:], s.n)
+                first = s.access(starts)
+                n_first = s.counts(first, starts, ends)
+                ids = s.decode()
+                prints = fingerprints(ids, starts)
+                ok = same & (prints == s.fingerprints) & (ids[starts] == first)
+                yield pd.DataFrame({"doc_id": pd.array(s.doc_ids, "Int64"), "shard": name.rsplit("/", 1)[1], "start": starts, "n_tokens": ends - starts, "token_sum": np.add.reduceat(ids, starts, dtype=np.int64), "first_token": first, "n_first": n_first, "fingerprint": prints, "intact": ok}).assign(doc_id=lambda x: x["doc_id"].mask(x["doc_id"] == NO_ID))
 
-    return files.select("file").mapInPandas(run, "doc_id long, shard string, start long, n_tokens long, token_sum long, intact boolean")
+    return files.select("file").mapInPandas(lean(run), "doc_id long, shard string, start long, n_tokens long, token_sum long, first_token long, n_first long, fingerprint long, intact boolean")
 
 
 def tokenise(docs: DataFrame, p: WaveletParams = WaveletParams()) -> DataFrame:
     """Writes all documents as shards in the shared folder and reads them back."""
     files = write_shards(docs, shared_folder(docs.sparkSession, "tokens"), p)
-    return read_documents(files.repartitionByRange(max(1, files.count()), "file"))
+    return read_documents(files.repartitionByRange(max(1, files.count()), "file"), p.tokenizer.separator)

@@ -1,15 +1,17 @@
+import threading
 import time
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pytest
 
-from tomewright.operators.execute import Engine
+from tomewright.operators import log
+from tomewright.operators.execute import Engine, set_json_field
 from tomewright.operators.metrics import Samples
 from tomewright.plans.boolean import QueryError
 from tomewright.plans.commands import CommandError, Insert, Select, parse_command
 from tomewright.sources.objects import Objects
-from tomewright.sources.version_store import KeyNotFound, VersionStore, WriteConflict
+from tomewright.sources.version_store import LOG, KeyNotFound, VersionStore, WriteConflict
 
 
 class Clock:
@@ -71,7 +73,7 @@ def test_conflict(store):
 def test_uncommitted_is_invisible_and_recovery(store):
     put(store, [("k", "1")])
     lost = store.begin()
-    store.spark.createDataFrame([("k", lost, 0, "9", None, False)], "key string, txn_id bigint, seq bigint, value string, expires_at timestamp, deleted boolean").write.parquet(f"{store.root}/kv/generation=0/txn={lost}")
+    store.spark.createDataFrame([("k", lost, 0, "9", None, False, None)], LOG).write.parquet(f"{store.root}/kv/generation=0/part=lost")
     assert store.read("kv", "k") == "1"
     again = VersionStore(store.spark, store.root, clock=store.clock)
     assert again.recover("kv") == (1, 1)
@@ -196,3 +198,117 @@ def test_own_statement(store):
 
     put(store, [("k", "1")])
     assert Engine(store).run(CountRows()).first()[0] == 1
+
+
+def test_several_writes_of_a_transaction(store):
+    """By one id one after the other, and together in a transaction, in which the later statement wins."""
+    txn = store.begin()
+    put(store, [("a", "1"), ("b", "1")], txn=txn)
+    put(store, [("b", "2"), ("c", "2")], txn=txn)
+    assert {r["key"]: r["value"] for r in store.live("kv").collect()} == {"a": "1", "b": "2", "c": "2"}
+    with store.transaction() as t:
+        put(store, [("a", "3"), ("d", "3")], txn=t)
+        put(store, [("d", "4")], txn=t)
+        store.write("other", store.spark.createDataFrame([("x", "1")], "key string, value string"), txn=t)
+        assert store.read("kv", "a") == "1" and store.live("other").count() == 0
+    assert {r["key"]: r["value"] for r in store.live("kv").collect()} == {"a": "3", "b": "2", "c": "2", "d": "4"}
+    assert store.read("other", "x") == "1" and not store.active
+    with pytest.raises(ZeroDivisionError), store.transaction() as t:
+        put(store, [("a", "9")], txn=t)
+        raise ZeroDivisionError
+    assert store.read("kv", "a") == "3" and store.recover("kv")[1] == 1
+
+
+def test_conflict_in_a_transaction(store):
+    put(store, [("k", "1")])
+    reader = store.snapshot_id()
+    with pytest.raises(WriteConflict), store.transaction() as t:
+        put(store, [("k", "2")], txn=t, read_txn=reader)
+        put(store, [("k", "3")])
+    assert store.read("kv", "k") == "3"
+
+
+@pytest.mark.parametrize("step", ["_record", "_point", "_compact_commits"])
+def test_checkpoint_that_fails_between_steps(store, monkeypatch, step):
+    put(store, [("gone", "x"), ("k", "1")])
+    with monkeypatch.context() as m:
+        m.setattr(VersionStore, step, lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.checkpoint("kv")
+    again = VersionStore(store.spark, store.root, clock=store.clock)
+    again.delete("kv", store.spark.createDataFrame([("gone",)], "key string"))
+    again.checkpoint("kv")
+    again.checkpoint("kv")
+    assert {r["key"]: r["value"] for r in again.live("kv").collect()} == {"k": "1"}
+    put(again, [("k", "2")])
+    assert again.vacuum() > 0 and {r["key"]: r["value"] for r in again.live("kv").collect()} == {"k": "2"}
+    assert again.commits().count() == 2
+
+
+def test_writes_race_checkpoints(store):
+    put(store, [("start", "0")])
+    with store.transaction() as t:
+        put(store, [("staged", "1")], txn=t)
+        store.checkpoint("kv")  # between the write and the commit
+    done = threading.Event()
+
+    def checkpoints():
+        while not done.is_set():
+            store.checkpoint("kv")
+
+    other = threading.Thread(target=checkpoints)
+    other.start()
+    for i in range(6):
+        put(store, [(f"k{i}", str(i))])
+    done.set()
+    other.join()
+    assert {r["key"] for r in store.live("kv").collect()} == {"start", "staged", *(f"k{i}" for i in range(6))}
+
+
+def test_locks_are_taken_and_released(store):
+    class Locks:
+        said = []
+
+        def acquire(self, txn, key, mode):
+            self.said.append((key, mode))
+
+        def release(self, txn, key): ...
+
+        def release_all(self, txn):
+            self.said.append("released")
+
+    store.locks = Locks()
+    with store.transaction() as t:
+        put(store, [("k", "1")], txn=t)
+        store.live("kv", txn=t)
+    assert Locks.said == [("kv", "X"), ("kv", "S"), "released"]
+
+
+def test_recovery_reads_the_log_of_the_store(store):
+    put(store, [("k", "1")])
+    put(store, [("k", "2"), ("j", "1")])
+    with pytest.raises(ZeroDivisionError), store.transaction() as t:
+        put(store, [("k", "lost")], txn=t)
+        raise ZeroDivisionError
+    wal = store.wal("kv")
+    assert {r["key"]: r["value"] for r in log.redo(wal).collect()} == {"k": "2", "j": "1"}
+    assert [(r["key"], r["value"]) for r in log.undo(wal).collect()] == [("k", "2")]
+    assert [r["txn_id"] for r in log.analysis(wal).collect()] == [t]
+    assert len({r["lsn"] for r in wal.collect()}) == wal.count() == 6
+
+
+def test_values_of_other_codecs_stay_raw(store):
+    db = Engine(store)
+    db.execute("INSERT INTO docs VALUES (1, 'hello123')")
+    db.execute("INSERT COMPRESSED INTO docs VALUES (2, 'hello words')")
+    store.write("docs", store.spark.createDataFrame([("3", "raw words", 0x48)], "key string, value string, codec int"))
+    rows = db.execute("SELECT COMPRESSED * FROM docs WHERE hello123 OR words").collect()
+    assert [(r["doc_id"], r["text"]) for r in rows] == [(1, "hello123"), (2, "hello words"), (3, "raw words")]
+
+
+@pytest.mark.parametrize(
+    ("text", "field", "out"),
+    [('{"a": {"role": "x"}, "role" : 1.50 , "n":[1, 2]}', "role", '{"a": {"role": "x"}, "role" : "new" , "n":[1, 2]}'), ('{"a.b": 1, "ab": 2}', "a.b", '{"a.b": "new", "ab": 2}'), ("{}", "a", None), ('{"a": 1', "a", None), ("plain", "a", None), ('{"b": 1}', "a", None), ('{"a": "\\"a\\": 2"}', "a", '{"a": "new"}'), ('{"$1": "é"}', "$1", '{"$1": "new"}'), ('{"a": 1} x', "a", None)],
+)
+def test_json_fields(text, field, out):
+    assert set_json_field(text, field, "new") == out

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions.codec import Codec, ZlibCodec, enveloped, opened
@@ -46,6 +48,46 @@ def selected(docs: DataFrame, statement: C.Select, other: DataFrame | None = Non
     return joined.orderBy("doc_id", *[c for c in joined.columns if c != "doc_id"]).limit(max(0, statement.limit))
 
 
+def set_json_field(text: str, name: str, value: str) -> str | None:
+    """A JSON object with a top-level field set to a string; everything else stays as it was written. None if there is no such field."""
+    decode, space = json.JSONDecoder().raw_decode, re.compile(r"[ \t\n\r]*")
+    skip = lambda i: space.match(text, i).end()
+    out, last = [], 0
+    try:
+        i = skip(0)
+        if text[i] != "{":
+            return None
+        i = skip(i + 1)
+        while text[i] != "}":
+            key, i = decode(text, i)
+            i = skip(i)
+            if not isinstance(key, str) or text[i] != ":":
+                return None
+            start = skip(i + 1)
+            _, end = decode(text, start)
+            if key == name:
+                out += [text[last:start], json.dumps(value, ensure_ascii=False)]
+                last = end
+            i = skip(end)
+            if text[i] == ",":
+                i = skip(i + 1)
+        if skip(i + 1) != len(text):
+            return None
+    except (ValueError, IndexError):
+        return None
+    return "".join(out) + text[last:] if out else None
+
+
+def with_field(text: Column, name: str, value: str) -> Column:
+    """The text with the field set, if it is a JSON object that has the field; else the value."""
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: set_json_field(t, name, value))
+
+    return F.coalesce(put(F.when(text.startswith("{"), text).otherwise(F.lit(""))), F.lit(value))
+
+
 @dataclass
 class Engine:
     """Commands over collections. A collection's text is its value; ids are its keys."""
@@ -55,11 +97,13 @@ class Engine:
     metrics: Samples | None = None
 
     def documents(self, table: str, compressed: bool = False) -> DataFrame:
-        rows = self.store.live(table).select(F.col("key").cast("bigint").alias("doc_id"), F.col("value").alias("text"))
+        """(doc_id, text). compressed: values that were stored by this engine's codec are unpacked; those of others stay as they are."""
+        rows = self.store.versions(table).select(F.col("key").cast("bigint").alias("doc_id"), F.col("value").alias("text"), "codec")
         if not compressed:
-            return rows
-        packed = opened(F.unbase64("text"), self.codec, strict=False)
-        return rows.select("doc_id", F.when(F.col("text").rlike("^[A-Za-z0-9+/]{4,}={0,2}$"), packed.cast("string")).otherwise(F.col("text")).alias("text"))
+            return rows.drop("codec")
+        own = F.coalesce(F.col("codec") == self.codec.id, F.lit(False))
+        packed = opened(F.when(own, F.unbase64("text")), self.codec)
+        return rows.select("doc_id", F.when(own, packed.cast("string")).otherwise(F.col("text")).alias("text"))
 
     def execute(self, text: str) -> DataFrame:
         return self.run(C.parse_command(text))
@@ -93,7 +137,7 @@ class Engine:
     def _insert(self, s: C.Insert) -> DataFrame:
         rows = self._rows([(str(s.doc_id), s.text)])
         if s.compressed:
-            rows = rows.select("key", F.base64(enveloped(F.col("value"), self.codec)).alias("value"))
+            rows = rows.select("key", F.base64(enveloped(F.col("value"), self.codec)).alias("value"), F.lit(self.codec.id).alias("codec"))
         self.store.write(s.table, rows)
         return self._say(f"{DONE}: document {s.doc_id} stored")
 
@@ -104,11 +148,7 @@ class Engine:
         """The whole value of a text; one field of a JSON object."""
         read_txn = self.store.snapshot_id()
         hits = self._hits(s.table, s.where)
-        as_map = F.from_json("text", "map<string,string>")
-        is_object = F.col("text").startswith("{") & F.map_contains_key(F.coalesce(as_map, F.create_map().cast("map<string,string>")), F.lit(s.field))
-        pattern = r'("' + s.field.replace(".", r"\.") + r'"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}\]]+)'
-        new = "$1" + json.dumps(s.value).replace("\\", "\\\\").replace("$", "\\$")
-        rows = hits.select("key", F.when(is_object, F.regexp_replace("text", pattern, new)).otherwise(F.lit(s.value)).alias("value"))
+        rows = hits.select("key", with_field(F.col("text"), s.field, s.value).alias("value"))
         self.store.write(s.table, rows, read_txn=read_txn)
         return self._say(f"{DONE}: matching documents updated")
 

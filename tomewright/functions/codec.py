@@ -10,6 +10,7 @@ import zlib
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 MAX_BLOCK = 32700
 RUN_MARK = 0xFE
 HEADER_BYTES = 6
+MAGIC = b"SH"
 
 
 class Codec(Protocol):
@@ -43,50 +45,87 @@ class ZlibCodec:
 
 @dataclass(frozen=True)
 class RunPrefixCodec:
-    """Block codec: a 7-byte header, runs of 4 to 255 equal bytes as three symbols, then a
-    canonical prefix code of 7, 8 or 9 bits. A literal run mark is written as a run, so every
-    block of 1 to 32700 bytes comes back as it was."""
+    """Block codec: a 6-byte header (mark, length of the block, number of symbols modulo 65536), runs of 4 to 255 equal bytes
+    as three symbols, then a canonical prefix code of 7, 8 or 9 bits. A literal run mark is written as a run, so every
+    block of 1 to 32700 bytes comes back as it was; the reader goes by the length."""
 
     id: int = 0x48
 
     def encode(self, raw: bytes) -> bytes:
         if not 1 <= len(raw) <= MAX_BLOCK:
             raise ValueError("invalid compression parameters")
-        symbols = bytearray()
-        for value, n in runs(raw):
-            while n:
-                part = min(n, 255)
-                if part >= 4 or value == RUN_MARK:
-                    symbols += bytes((RUN_MARK, part, value))
-                else:
-                    symbols += bytes([value]) * part
-                n -= part
-        bits = "".join(format(code, f"0{n}b") for code, n in (CODES[s] for s in symbols))
-        bits += "0" * (-len(bits) % 8)
-        head = b"SH" + len(raw).to_bytes(2, "big") + len(symbols).to_bytes(3, "big")
-        return head + int(bits or "0", 2).to_bytes(len(bits) // 8, "big")
+        symbols = np.frombuffer(run_symbols(raw), np.uint8)
+        codes, sizes = _CODES[symbols], _SIZES[symbols]
+        ends = np.cumsum(sizes)
+        bits = np.zeros(-(-int(ends[-1]) // 8) * 8, np.uint8)
+        for k in range(9):  # bit k of each code, the first one at the most significant place
+            own = sizes > k
+            bits[(ends - sizes)[own] + k] = codes[own] >> (sizes[own] - 1 - k) & 1
+        return MAGIC + len(raw).to_bytes(2, "big") + (len(symbols) & 0xFFFF).to_bytes(2, "big") + np.packbits(bits).tobytes()
 
     def decode(self, packed: bytes) -> bytes:
-        size, n = int.from_bytes(packed[2:4], "big"), int.from_bytes(packed[4:7], "big")
-        bits = bin(int.from_bytes(b"\x01" + packed[7:], "big"))[3:]
-        symbols, at = [], 0
-        for _ in range(n):
-            k = next(k for k in (7, 8, 9) if (k, bits[at : at + k]) in SYMBOLS)
-            symbols.append(SYMBOLS[k, bits[at : at + k]])
-            at += k
-        out, i = bytearray(), 0
-        while i < n:
-            if symbols[i] == RUN_MARK:
-                out += bytes([symbols[i + 2]]) * symbols[i + 1]
-                i += 3
-            else:
-                out.append(symbols[i])
-                i += 1
+        if packed[:2] != MAGIC or len(packed) < HEADER_BYTES:
+            raise ValueError("no block header")
+        size = int.from_bytes(packed[2:4], "big")
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8, offset=HEADER_BYTES))
+        padded = np.concatenate([bits, np.zeros(9, np.uint8)]).astype(np.uint16)
+        window = sum(padded[k : k + len(bits)] << (8 - k) for k in range(9))  # the 9 bits from each place on
+        symbol, step = _SYMBOL[window].tolist(), _STEP[window].tolist()
+        out, at = bytearray(), 0
+        try:
+            while len(out) < size:
+                s, at = symbol[at], at + step[at]
+                if s != RUN_MARK:
+                    out.append(s)
+                    continue
+                n, at = symbol[at], at + step[at]
+                value, at = symbol[at], at + step[at]
+                out += bytes([value]) * n
+        except IndexError:
+            raise ValueError("block ends before its length") from None
         if len(out) != size:
             raise ValueError("block has another length than its header says")
         return bytes(out)
 
 
+def run_symbols(raw: bytes) -> bytes:
+    """The symbols of a block: run mark, times and byte for each run of 4 or more and for a run mark, else the bytes."""
+    symbols = bytearray()
+    for value, n in runs(raw):
+        while n:
+            part = min(n, 255)
+            if part >= 4 or value == RUN_MARK:
+                symbols += bytes((RUN_MARK, part, value))
+            else:
+                symbols += bytes([value]) * part
+            n -= part
+    return bytes(symbols)
+
+
+def blocks(raw: bytes) -> list[bytes]:
+    """Bytes of any length as blocks that the block codec takes."""
+    return [raw[i : i + MAX_BLOCK] for i in range(0, len(raw), MAX_BLOCK)]
+
+
+@dataclass(frozen=True)
+class BlockCodec:
+    """Values of any length as blocks of the block codec, each behind its length in 4 bytes."""
+
+    id: int = 0x49
+
+    def encode(self, raw: bytes) -> bytes:
+        packed = [RunPrefixCodec().encode(x) for x in blocks(raw)]
+        return b"".join(len(x).to_bytes(4, "big") + x for x in packed)
+
+    def decode(self, packed: bytes) -> bytes:
+        out, at = [], 0
+        while at < len(packed):
+            n = int.from_bytes(packed[at : at + 4], "big")
+            out.append(RunPrefixCodec().decode(packed[at + 4 : at + 4 + n]))
+            at += 4 + n
+        return b"".join(out)
+
+
 def runs(raw: bytes):
     """(byte, times) of each run."""
     i = 0
@@ -116,7 +155,13 @@ def canonical_codes() -> dict[int, tuple[int, int]]:
 
 
 CODES = canonical_codes()
-SYMBOLS = {(n, format(code, f"0{n}b")): byte for byte, (code, n) in CODES.items()}
+_CODES = np.array([CODES[b][0] for b in range(256)], np.int64)
+_SIZES = np.array([CODES[b][1] for b in range(256)], np.int64)
+#: By the next 9 bits: the symbol and the bits that it takes.
+_SYMBOL, _STEP = np.zeros(512, np.uint8), np.ones(512, np.uint8)
+for _byte, (_code, _n) in CODES.items():
+    _SYMBOL[_code << (9 - _n) : (_code + 1) << (9 - _n)] = _byte
+    _STEP[_code << (9 - _n) : (_code + 1) << (9 - _n)] = _n
 
 
 def enveloped(value: Column, codec: Codec) -> Column:
@@ -152,9 +197,16 @@ def opened(payload: Column, codec: Codec, strict: bool = True) -> Column:
 
 
 def run_length_size(text: Column) -> Column:
-    """Bytes of an ASCII text after run coding: a run of 4 to 255 equal characters takes 3."""
-    saved = F.aggregate(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)((.)\2{3,254})"), F.lit(1)), lambda r: F.length(r) - 3), F.lit(0), lambda a, x: a + x)
-    return (F.length(text) - saved).cast("bigint")
+    """Bytes of a text after run coding: a run of 4 to 255 equal bytes takes 3."""
+    raw = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # a character a byte
+    saved = F.aggregate(F.transform(F.regexp_extract_all(raw, F.lit(r"(?s)((.)\2{3,254})"), F.lit(1)), lambda r: F.length(r) - 3), F.lit(0), lambda a, x: a + x)
+    return (F.octet_length(text) - saved).cast("bigint")
+
+
+def code_length_counts(text: Column) -> Column:
+    """Bytes of a text that have a code of 7, 8 and 9 bits, as a struct of n7, n8 and n9."""
+    n7, n8 = F.length(F.regexp_replace(text, "[^a-z0-9 ]", "")), F.length(F.regexp_replace(text, '[^A-Z"_:]', ""))
+    return F.struct(n7.alias("n7"), n8.alias("n8"), (F.octet_length(text) - n7 - n8).alias("n9"))
 
 
 def prefix_code_bits(text: Column) -> Column:
@@ -174,6 +226,47 @@ def varint_length(value: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("bigint")
 
 
+def varints(values: Column) -> Column:
+    """Bytes of an array of values of 0 or more in 7-bit groups, least significant first; all but the last group of a value have the high bit."""
+    group = lambda v, i, last: F.lpad(F.hex(F.shiftright(v, 7 * i).bitwiseAND(F.lit(127)) + F.when(last, 0).otherwise(128)), 2, "0")
+
+    def digits(v: Column) -> Column:
+        out = group(v, 8, F.lit(True))  # 63 bits are 9 groups
+        for i in range(7, -1, -1):
+            further = F.shiftright(v, 7 * (i + 1)) > 0
+            out = F.concat(group(v, i, ~further), F.when(further, out).otherwise(""))
+        return out
+
+    return F.unhex(F.array_join(F.transform(values, digits), ""))
+
+
+def read_varints(raw: Column) -> Column:
+    """The values of varints."""
+
+    @F.pandas_udf("array<bigint>")
+    def read(parts: pd.Series) -> pd.Series:
+        def one(x):
+            a = np.frombuffer(x, np.uint8)
+            ends = np.flatnonzero(a < 128)
+            starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+            place = np.arange(len(a)) - np.repeat(starts, ends - starts + 1) if len(ends) else np.empty(0, np.int64)
+            return np.add.reduceat((a & 127).astype(np.int64) << (7 * place), starts) if len(ends) else np.empty(0, np.int64)
+
+        return parts.map(lambda x: None if x is None else one(x))
+
+    return read(raw)
+
+
+def running_totals(values: Column) -> Column:
+    """The sums up to and with each element of an array."""
+
+    @F.pandas_udf("array<bigint>")
+    def sums(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda x: None if x is None else np.cumsum(x))
+
+    return sums(values)
+
+
 def checksum(*parts: Column) -> Column:
     """CRC-32 (IEEE) of the concatenated bytes."""
     return F.crc32(F.concat(*[F.coalesce(p.cast("binary"), F.lit(b"")) for p in parts]))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.functions.codec import varint_length
+from tomewright.functions.codec import read_varints, running_totals, varint_length, varints
+from tomewright.functions.keys import little_endian
 from tomewright.functions.text import ascii_tokens, unicode_tokens
 
 from .running import previous, running_sums
@@ -15,9 +16,11 @@ CHUNK = 256
 PART_BITS = 20
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, doc_id): the distinct ASCII tokens of each document."""
-    return docs.select("doc_id", F.explode(F.array_distinct(ascii_tokens(text))).alias("term")).select("term", "doc_id")
+def postings(docs: DataFrame, text: str = "text", words: list[str] | None = None) -> DataFrame:
+    """(term, doc_id): the distinct ASCII tokens of each document, or those of them that are among words."""
+    tokens = ascii_tokens(text)
+    own = F.array_distinct(tokens) if words is None else F.array_intersect(tokens, F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+    return docs.select("doc_id", F.explode(own).alias("term")).select("term", "doc_id")
 
 
 def term_frequencies(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -71,8 +74,28 @@ def delta_decode(gaps: DataFrame, order: str = "position") -> DataFrame:
 
 def chunked(frequencies: DataFrame, size: int = CHUNK) -> DataFrame:
     """(term, chunk_id, doc_id, tf): postings in chunks of `size` in the order of doc_id."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return frequencies.select("term", F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("chunk_id"), "doc_id", "tf")
+    placed = numbered(frequencies.select("term", "doc_id", "tf"))
+    return placed.select("term", F.floor((F.col("position") - 1) / size).cast("int").alias("chunk_id"), "doc_id", "tf")
+
+
+def numbered(posted: DataFrame) -> DataFrame:
+    """Adds position: 1 for the first document of a term, and so on, without one task that sorts all postings of a frequent term."""
+    return running_sums(posted.withColumn("_one", F.lit(1).cast("bigint")), "doc_id", F.shiftright("doc_id", PART_BITS), ["term"], position="_one").drop("_one")
+
+
+def segment_blocks(posted: DataFrame) -> DataFrame:
+    """(term, part, postings, block): the bytes of a segment. A block holds the 4-byte little-endian count of its postings and
+    the varints of their gaps, the first one from 0; a term has one block for 2**PART_BITS ids in a row."""
+    part = F.shiftright("doc_id", PART_BITS)
+    ids = posted.groupBy("term", part.alias("part")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    gaps = F.transform("ids", lambda x, i: x - F.when(i > 0, F.get(F.col("ids"), i - 1)).otherwise(F.lit(0)))
+    return ids.select("term", "part", F.size("ids").alias("postings"), F.concat(little_endian(F.size("ids"), 4), varints(gaps)).alias("block"))
+
+
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id) from segment blocks."""
+    gaps = blocks.select("term", read_varints(F.expr("substring(block, 5)")).alias("gaps"))
+    return gaps.select("term", F.explode(running_totals(F.col("gaps"))).alias("doc_id"))
 
 
 def chunk_rows(frequencies: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def merge_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key, left_value, right_value): sort-merge inner join on equal keys."""
@@ -12,11 +14,16 @@ def merge_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.hint("merge").join(b, "key")
 
 
-def merge_join_zip(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sort-merge join that moves both sides on at a match: the m and n rows of a key give min(m, n) rows, paired in the order of value."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("value"))
-    a = left.select("key", F.col("value").alias("left_value"), place.alias("place"))
-    b = right.select("key", F.col("value").alias("right_value"), place.alias("place"))
+def merge_join_zip(left: DataFrame, right: DataFrame, part: Column | None = None) -> DataFrame:
+    """Sort-merge join that moves both sides on at a match: the m and n rows of a key give min(m, n) rows, paired in the order of value.
+    part: an expression that never falls along value; with it no task orders all rows of a key, and (key, place) spreads them for the join."""
+    a, b = (x.select("key", "value", F.lit(1).cast("bigint").alias("one")) for x in (left, right))
+    if part is None:
+        place = F.row_number().over(Window.partitionBy("key").orderBy("value")).cast("bigint")
+        a, b = (x.withColumn("place", place) for x in (a, b))
+    else:
+        a, b = (running_sums(x, "value", part, ["key"], place="one") for x in (a, b))
+    a, b = a.select("key", "place", F.col("value").alias("left_value")), b.select("key", "place", F.col("value").alias("right_value"))
     return a.join(b, ["key", "place"]).select("key", "left_value", "right_value")
 
 

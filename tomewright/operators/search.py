@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tomewright.functions.scoring import bm25
 from tomewright.functions.text import analyze, ascii_tokens, unicode_tokens
 from tomewright.plans.boolean import Query, parse
+from tomewright.sources.paths import stored
 
 
 class AccessPolicy(Protocol):
@@ -84,33 +85,31 @@ def scored(docs: DataFrame, query: str, *keys: str, stats: DataFrame | None = No
 
     Every analyzed word of the query scores, once for each time it stands there. filtered:
     only documents that satisfy the query as a boolean expression; without length_norm
-    every document counts as one of mean length. Statistics that aren't given are taken in
-    the pass that takes the document frequencies. What shuffles is one row a task (and key).
+    every document counts as one of mean length. Texts are tokenized once: what the query
+    needs of a document goes to a narrow table, from which frequencies and scores are taken.
     """
     times = Counter(analyze(query))
-    tokens = unicode_tokens("text")
-    texts = matching_by_scan(docs, query) if filtered else docs
-    counted = docs.select(*keys, "doc_id", tokens.alias("tokens"))
-    counts = [_times_in(F.col("tokens"), w).alias(f"tf{i}") for i, w in enumerate(times)]
     if not times:
         return docs.select(*keys, "doc_id", F.lit(0.0).alias("score")).limit(0)
-    # document frequencies over the whole corpus, as one row (a key)
+    # the lambda's variable holds the tokens, so that a text is split once and not once a word
+    counted = lambda t: F.struct(F.coalesce(F.size(t), F.lit(0)).alias("length"), *[F.coalesce(_times_in(t, w), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(times)])
+    held = F.get(F.transform(F.array(unicode_tokens("text")), counted), 0)
+    matches = scan_condition(parse(query)) if filtered else F.lit(True)
+    every = stored(docs.select(*keys, "doc_id", held.alias("held"), matches.alias("matches")).select(*keys, "doc_id", "held.*", "matches"), "counts")
     frequencies = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(times))]
     if stats is None:
         frequencies += [F.count("*").alias("total_docs"), (F.sum("length").cast("double") / F.count("*")).alias("avg_doc_len")]
-    every = counted.select(*keys, F.coalesce(F.size("tokens"), F.lit(0)).alias("length"), *counts)
     table = every.groupBy(*keys).agg(*frequencies) if keys else every.agg(*frequencies)
     if stats is not None:
         table = table.join(stats, list(keys)) if keys else table.crossJoin(stats)
-    mine = texts.select(*keys, "doc_id", tokens.alias("tokens")).select(*keys, "doc_id", F.size("tokens").alias("length"), *counts)
+    hit = F.lit(False)
+    for i in range(len(times)):
+        hit = hit | (F.col(f"tf{i}") > 0)
+    mine = every.where(F.col("matches") & hit)
     joined = mine.join(F.broadcast(table), list(keys)) if keys else mine.crossJoin(F.broadcast(table))  # one row a key
     length = F.col("length") if length_norm else F.col("avg_doc_len")
     total = sum((n * bm25(F.col(f"tf{i}"), length, F.col("avg_doc_len"), F.col("total_docs"), F.col(f"df{i}")) for i, n in enumerate(times.values())), F.lit(0.0))
-    any_word = [F.col(f"tf{i}") > 0 for i in range(len(times))]
-    hit = any_word[0]
-    for c in any_word[1:]:
-        hit = hit | c
-    return joined.where(hit).select(*keys, "doc_id", total.alias("score"))
+    return joined.select(*keys, "doc_id", total.alias("score"))
 
 
 def top(hits: DataFrame, limit: int) -> DataFrame:

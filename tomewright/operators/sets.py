@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomewright.functions.keys import from_little_endian, little_endian
+
 
 def distinct_ids(ids: DataFrame) -> DataFrame:
     return ids.select("doc_id").distinct()
@@ -50,3 +52,18 @@ def bitmap_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 def size(maps: DataFrame) -> DataFrame:
     """One row: the number of ids."""
     return maps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("size"))
+
+
+def serialised_chunks(ids: DataFrame) -> DataFrame:
+    """(high, chunk): the bytes of each chunk: its number in 8 bytes, its length in 4 and its ascending low parts in 2 each, little-endian.
+    A bitmap in one piece is the 4-byte count of its chunks and then these."""
+    held = chunks(ids).groupBy("high").agg(F.sort_array(F.collect_list("low")).alias("lows"))
+    digits = F.transform("lows", lambda x: F.concat(F.substring(F.lpad(F.hex(x), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(x), 4, "0"), 1, 2)))
+    return held.select("high", F.concat(little_endian(F.col("high"), 8), little_endian(F.size("lows"), 4), F.unhex(F.array_join(digits, ""))).alias("chunk"))
+
+
+def read_chunks(parts: DataFrame) -> DataFrame:
+    """(high, low) from serialised chunks."""
+    lows = F.transform(F.sequence(F.lit(0), from_little_endian(F.substring("chunk", 9, 4), 4) - 1), lambda i: F.expr("substring(hex(chunk), 25)").substr((i * 4 + 1).cast("int"), F.lit(4)))
+    high = from_little_endian(F.substring("chunk", 1, 8), 8)
+    return parts.select(high.alias("high"), F.explode(lows).alias("d")).select("high", F.conv(F.concat(F.substring("d", 3, 2), F.substring("d", 1, 2)), 16, 10).cast("int").alias("low"))

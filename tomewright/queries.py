@@ -8,6 +8,7 @@ value, `error` a tombstone); customer, part and orders are keyed sets.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,20 @@ from pyspark.sql import functions as F
 from tomewright.functions import codec, keys
 from tomewright.functions.text import STOP_WORDS, ascii_tokens, unicode_tokens
 from tomewright.operators import execute, index, joins, log, metrics, ring, search, sets, versions
+from tomewright.plans.boolean import parse
 from tomewright.plans.commands import parse_command
 from tomewright.sources import objects
+from tomewright.sources.indexed import IndexedDocuments
+from tomewright.sources.paths import scratch, stored
+from tomewright.sources.version_store import VersionStore
 from tomewright.streaming import log_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 NOW = "2024-02-06 06:00:00"
-READER = 900
+#: The transaction of a reader who began in the middle of the log.
+READER = "(SELECT max(event_id) // 2 FROM events)"
 ASCII = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 UNICODE = rf"list_filter(list_transform(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+'), lambda x: lower(x)), lambda x: strlen(x) > 1 AND x NOT IN ({STOP}))"
@@ -53,6 +59,10 @@ def query(oracle: str | None = None):
     return add
 
 
+def reader_of(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // 2
+
+
 def docs_of(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -70,7 +80,7 @@ def wal_of(spark, sf_dir) -> DataFrame:
     writes = versions.before_images(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("txn_id"), F.lit(0).alias("seq"), F.col("event_type").alias("value")))
     rows = writes.join(e.select(F.col("event_id").alias("txn_id"), kind.alias("kind")), "txn_id")
     named = rows.select(F.col("txn_id").alias("event_id"), F.floor(F.col("txn_id") / 3).alias("txn_id"), "kind", "key", "old_value", F.col("value").alias("new_value"))
-    return log.with_lsn(named, log.record_size(F.col("key"), F.col("old_value"), F.col("new_value")), "event_id", F.floor(F.col("event_id") / 1000))
+    return log.with_lsn(named, log.record_size(F.col("key"), F.col("old_value"), F.col("new_value")), "event_id", F.shiftright("event_id", index.PART_BITS))
 
 
 # --- tokenizers and indexes
@@ -122,7 +132,7 @@ def postings_delta(spark, sf_dir):
 @query(f"WITH {POSTINGS} SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS position, doc_id FROM postings")
 def postings_delta_decode(spark, sf_dir):
     gaps = index.delta_encode(index.postings(docs_of(spark, sf_dir)))
-    placed = gaps.withColumn("position", F.expr("CAST(row_number() OVER (PARTITION BY term ORDER BY doc_id) AS BIGINT)"))
+    placed = index.numbered(gaps)
     return index.delta_decode(placed.select("term", "position", "delta"))
 
 
@@ -174,29 +184,34 @@ def bool_term(spark, sf_dir):
     return search.matching_by_scan(docs_of(spark, sf_dir), "that").select("doc_id")
 
 
+def _postings_of(spark, sf_dir, query: str) -> DataFrame:
+    """The postings of the query's words, from one pass over the texts however many sides read them."""
+    return stored(index.postings(docs_of(spark, sf_dir), words=parse(query).words()), "postings")
+
+
 @query(_boolean(f"{THAT} AND {WAS}"))
 def bool_and(spark, sf_dir):
-    return search.matching_by_joins(index.postings(docs_of(spark, sf_dir)), "that AND was")
+    return search.matching_by_joins(_postings_of(spark, sf_dir, "that AND was"), "that AND was")
 
 
 @query(_boolean(f"{ATED} OR {WAS}"))
 def bool_or(spark, sf_dir):
-    return search.matching_by_joins(index.postings(docs_of(spark, sf_dir)), "ated OR was")
+    return search.matching_by_joins(_postings_of(spark, sf_dir, "ated OR was"), "ated OR was")
 
 
 @query(_boolean(f"{THAT} AND NOT {ATED}"))
 def bool_not(spark, sf_dir):
-    return search.matching_by_joins(index.postings(docs_of(spark, sf_dir)), "that NOT ated")
+    return search.matching_by_joins(_postings_of(spark, sf_dir, "that NOT ated"), "that NOT ated")
 
 
 @query(_boolean(f"({THAT} OR {WAS}) AND NOT {ATED} AND {ING}"))
 def bool_nested(spark, sf_dir):
-    return search.matching_in_one_pass(index.postings(docs_of(spark, sf_dir)), "((that OR was) NOT ated) AND ing")
+    return search.matching_in_one_pass(index.postings(docs_of(spark, sf_dir), words=parse(q := "((that OR was) NOT ated) AND ing").words()), q)
 
 
 @query(_boolean(f"{ATED} OR ({THAT} AND {WAS}) AND NOT {ING}"))
 def bool_precedence(spark, sf_dir):
-    return search.matching_in_one_pass(index.postings(docs_of(spark, sf_dir)), "ated OR that AND was NOT ing")
+    return search.matching_in_one_pass(index.postings(docs_of(spark, sf_dir), words=parse(q := "ated OR that AND was NOT ing").words()), q)
 
 
 @query(_boolean(f"{ATED} AND {WAS}"))
@@ -271,8 +286,9 @@ def bm25_topk(spark, sf_dir):
 @query(_ranked("s.avgdl", f"{THAT} AND {WAS}", ["that", "was"], 10))
 def bm25_index_topk(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    matching = search.matching_in_one_pass(index.postings(docs), "that was")
-    return _rounded(search.top(search.score_postings(index.term_frequencies(docs), index.corpus_stats(docs), "that was", matching), 10))
+    matching = search.matching_in_one_pass(index.postings(docs, words=["that", "was"]), "that was")
+    frequencies = stored(index.term_frequencies(docs), "index")
+    return _rounded(search.top(search.score_postings(frequencies, index.corpus_stats(docs), "that was", matching), 10))
 
 
 @query(_ranked("dl.dl", f"{THAT} AND {WAS}", ["that", "was"], 10))
@@ -300,7 +316,7 @@ def kv_point_read(spark, sf_dir):
 
 @query(f"WITH {LOG.replace('FROM events', f'FROM events WHERE event_id <= {READER}')}, {NEWEST} SELECT key, txn_id, value FROM newest WHERE {ALIVE}")
 def kv_snapshot_read(spark, sf_dir):
-    return versions.snapshot(version_log(spark, sf_dir), NOW, upto=READER).select("key", "txn_id", "value")
+    return versions.snapshot(version_log(spark, sf_dir), NOW, upto=reader_of(spark, sf_dir)).select("key", "txn_id", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT key, txn_id, value FROM newest WHERE rn = 1 AND NOT deleted AND expires_at <= TIMESTAMP '{NOW}'")
@@ -324,10 +340,10 @@ def kv_range_scan(spark, sf_dir):
     return versions.scan_range(version_log(spark, sf_dir), "12", "5", NOW).select("key", "value")
 
 
-@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE starts_with(c_name, 'Customer#0000000') ORDER BY 1")
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE starts_with(c_name, 'Customer#') ORDER BY 1")
 def tree_scan_ordered(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
-    return rows.where(keys.has_prefix(F.col("key"), "Customer#0000000")).orderBy("key")
+    return rows.where(keys.has_prefix(F.col("key"), "Customer#")).orderBy("key")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT key, txn_id, value FROM newest WHERE {ALIVE}")
@@ -356,10 +372,10 @@ def command_hset(spark, sf_dir):
     return versions.hash_fields(rows, "8", NOW)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS txn_id FROM events WHERE event_id > 900 AND event_id <> 950 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id")
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS txn_id FROM events WHERE event_id > {READER} AND event_id <> {READER} + 50 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id")
 def occ_conflicts(spark, sf_dir):
-    whole = version_log(spark, sf_dir)
-    return versions.conflicts(whole.where("value = 'signup'").select("key"), whole, READER, 950)
+    whole, reader = version_log(spark, sf_dir), reader_of(spark, sf_dir)
+    return versions.conflicts(whole.where("value = 'signup'").select("key"), whole, reader, reader + 50)
 
 
 # --- joins and sets
@@ -376,11 +392,13 @@ b AS (SELECT user_id AS key, event_id AS v, row_number() OVER (PARTITION BY user
 SELECT a.key, a.v AS left_value, b.v AS right_value FROM a JOIN b ON a.key = b.key AND a.rn = b.rn""")
 def merge_join_zip(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
-    return joins.merge_join_zip(a, table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value")))
+    return joins.merge_join_zip(a, table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value")), F.shiftright("value", index.PART_BITS))
 
 
-def _ids(spark, sf_dir, word: str) -> DataFrame:
-    return index.postings(docs_of(spark, sf_dir)).where(F.col("term") == word).select("doc_id")
+def _ids(spark, sf_dir, *words: str) -> list[DataFrame]:
+    """The ids of each word's documents, from one pass over the texts."""
+    posted = stored(index.postings(docs_of(spark, sf_dir), words=list(words)), "postings")
+    return [posted.where(F.col("term") == w).select("doc_id") for w in words]
 
 
 @query("SELECT DISTINCT l_orderkey >> 16 AS high, CAST(l_orderkey & 65535 AS INTEGER) AS low FROM lineitem")
@@ -395,17 +413,17 @@ def bitmap_from_chunks(spark, sf_dir):
 
 @query(_boolean(f"{THAT} AND {WAS}"))
 def bitmap_intersect(spark, sf_dir):
-    return sets.intersect(_ids(spark, sf_dir, "that"), _ids(spark, sf_dir, "was"))
+    return sets.intersect(*_ids(spark, sf_dir, "that", "was"))
 
 
 @query(_boolean(f"{THAT} OR {ATED}"))
 def bitmap_union(spark, sf_dir):
-    return sets.union(_ids(spark, sf_dir, "that"), _ids(spark, sf_dir, "ated"))
+    return sets.union(*_ids(spark, sf_dir, "that", "ated"))
 
 
 @query(_boolean(f"{WAS} AND NOT {ATED}"))
 def bitmap_difference(spark, sf_dir):
-    return sets.difference(_ids(spark, sf_dir, "was"), _ids(spark, sf_dir, "ated"))
+    return sets.difference(*_ids(spark, sf_dir, "was", "ated"))
 
 
 @query("SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')) AS both_flags, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag IN ('R', 'A')) AS either_flag")
@@ -451,8 +469,6 @@ def wal_undo(spark, sf_dir):
 
 @query("SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def wal_micro_batch(spark, sf_dir):
-    from tomewright.sources.paths import scratch
-
     folder = scratch(spark, "micro-batch")
     stream = log_stream.log_source(spark, f"{sf_dir}/events.[p]arquet", table(spark, sf_dir, "events").schema)
     log_stream.group_commit(stream, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
@@ -490,7 +506,7 @@ def ring_owner(spark, sf_dir):
     return ring.owners(table(spark, sf_dir, "customer").select(F.col("c_name").alias("key")), ring.ring_tokens(nodes))
 
 
-@query("""WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents)),
+@query("""WITH c AS (SELECT doc_id, unnest(x) AS ch, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS x FROM documents)),
 g AS (SELECT doc_id, i, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS grp FROM c),
 r AS (SELECT doc_id, ch, grp, count(*) AS n FROM g GROUP BY ALL),
 s AS (SELECT doc_id, sum((n // 255) * 3 + CASE WHEN n % 255 >= 4 THEN 3 ELSE n % 255 END) AS size FROM r GROUP BY doc_id)
@@ -506,12 +522,64 @@ def huffman_bits(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", bits.alias("bits"), codec.packed_size(bits).alias("size"))
 
 
-@query("SELECT * FROM (VALUES (7, CAST(37 AS BIGINT)), (8, CAST(29 AS BIGINT)), (9, CAST(190 AS BIGINT))) v(length, n)")
+@query("""WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents)
+SELECT CASE WHEN x = '20' OR x BETWEEN '30' AND '39' OR x BETWEEN '61' AND '7A' THEN 7 WHEN x BETWEEN '41' AND '5A' OR x IN ('22', '5F', '3A') THEN 8 ELSE 9 END AS length, count(*) AS n FROM b GROUP BY 1""")
 def code_lengths(spark, sf_dir):
-    """Histogram of the prefix code's lengths over all byte values."""
-    byte = spark.range(256).select(F.expr("decode(unhex(lpad(hex(id), 2, '0')), 'ISO-8859-1')").alias("c"))
-    length = F.when(F.col("c").rlike("^[a-z0-9 ]$"), 7).when(F.col("c").rlike('^[A-Z"_:]$'), 8).otherwise(9)
-    return byte.groupBy(length.alias("length")).agg(F.count("*").alias("n"))
+    """Bytes of all texts by the length of their code."""
+    counted = docs_of(spark, sf_dir).select(codec.code_length_counts(F.col("text")).alias("c")).agg(*[F.sum(f"c.n{k}").alias(f"n{k}") for k in (7, 8, 9)])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(k).alias("length"), F.col(f"n{k}").alias("n")) for k in (7, 8, 9)])))
+
+
+_BITS = "CASE WHEN {0} = 32 OR {0} BETWEEN 48 AND 57 OR {0} BETWEEN 97 AND 122 THEN 7 WHEN {0} BETWEEN 65 AND 90 OR {0} IN (34, 95, 58) THEN 8 ELSE 9 END"
+
+
+@query(f"""WITH c AS (SELECT doc_id, i, i // 32700 AS block, (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 AS x
+ FROM (SELECT doc_id, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents))),
+g AS (SELECT doc_id, block, x, i - row_number() OVER (PARTITION BY doc_id, block, x ORDER BY i) AS grp FROM c),
+r AS (SELECT doc_id, block, x, count(*) AS n FROM g GROUP BY doc_id, block, x, grp),
+b AS (SELECT doc_id, block, sum((n // 255) * (18 + {_BITS.format("x")}) + CASE WHEN n % 255 >= 4 THEN 9 + {_BITS.format("(n % 255)")} + {_BITS.format("x")} ELSE (n % 255) * {_BITS.format("x")} END) AS bits FROM r GROUP BY doc_id, block),
+p AS (SELECT doc_id, count(*) AS blocks, sum(10 + (bits + 7) // 8) AS size FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(blocks, 0) AS BIGINT) AS blocks, CAST(coalesce(size, 0) AS BIGINT) AS size, true AS same FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id""")
+def block_roundtrip(spark, sf_dir):
+    """Texts in run and prefix coded blocks, each behind its length, and back."""
+    packed = docs_of(spark, sf_dir).select("doc_id", "text", codec.enveloped(F.col("text"), codec.BlockCodec()).alias("packed"))
+    back = codec.opened(F.col("packed"), codec.BlockCodec(), strict=False).cast("string")
+    n = F.octet_length("text")
+    return packed.select("doc_id", F.ceil(n / codec.MAX_BLOCK).cast("bigint").alias("blocks"), (F.octet_length("packed") - 1).cast("bigint").alias("size"), (F.when(n > 0, back).otherwise(F.lit("")) == F.col("text")).alias("same"))
+
+
+_VARINT = "CASE WHEN {0} < 128 THEN '' ELSE printf('%02X', {0} & 127 | 128) END || CASE WHEN {0} < 16384 THEN '' ELSE printf('%02X', {0} >> 7 & 127 | 128) END || printf('%02X', CASE WHEN {0} < 128 THEN {0} WHEN {0} < 16384 THEN {0} >> 7 ELSE {0} >> 14 END)"
+_GAPS = f"{POSTINGS}, gaps AS (SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM postings)"
+_LE = lambda x, n: " || ".join(f"printf('%02X', {x} >> {8 * i} & 255)" for i in range(n))
+
+
+@query(f"WITH {_GAPS} SELECT term, {_LE('count(*)', 4)} || string_agg({_VARINT.format('gap')}, '' ORDER BY doc_id) AS block FROM gaps GROUP BY term")
+def segment_bytes(spark, sf_dir):
+    """The bytes of every term's block of a segment. Ids of these tables lie below 2**20, so a term has one block."""
+    return index.segment_blocks(index.postings(docs_of(spark, sf_dir))).select("term", F.hex("block").alias("block"))
+
+
+@query(f"WITH {POSTINGS} SELECT term, doc_id FROM postings")
+def segment_bytes_read(spark, sf_dir):
+    """Postings, written as segment bytes and read back."""
+    return index.read_blocks(index.segment_blocks(index.postings(docs_of(spark, sf_dir))))
+
+
+@query(f"WITH c AS (SELECT DISTINCT l_orderkey >> 16 AS high, l_orderkey & 65535 AS low FROM lineitem) SELECT high, {_LE('high', 8)} || {_LE('count(*)', 4)} || string_agg({_LE('low', 2)}, '' ORDER BY low) AS chunk FROM c GROUP BY high")
+def bitmap_bytes(spark, sf_dir):
+    """The bytes of a bitmap's chunks."""
+    return sets.serialised_chunks(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))).select("high", F.hex("chunk").alias("chunk"))
+
+
+@query("SELECT DISTINCT l_orderkey >> 16 AS high, CAST(l_orderkey & 65535 AS INTEGER) AS low FROM lineitem")
+def bitmap_bytes_read(spark, sf_dir):
+    return sets.read_chunks(sets.serialised_chunks(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))))
+
+
+@query(f"SELECT event_id, {_LE('event_id', 8)} AS little, printf('%016X', event_id) AS big, event_id AS from_little, event_id AS from_big FROM events")
+def integer_bytes(spark, sf_dir):
+    coded = table(spark, sf_dir, "events").select("event_id", keys.little_endian(F.col("event_id"), 8).alias("raw"), keys.big_endian(F.col("event_id")).alias("big"))
+    return coded.select("event_id", F.hex("raw").alias("little"), "big", keys.from_little_endian(F.col("raw"), 8).alias("from_little"), keys.from_big_endian(F.col("big")).alias("from_big"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS same FROM documents")
@@ -521,10 +589,98 @@ def codec_roundtrip(spark, sf_dir):
     return packed.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), (back == F.col("text")).alias("same"))
 
 
-@query()
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by the polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+@query(f"""WITH t AS (SELECT {_crc_table()}::BIGINT[] AS t), b AS (SELECT page_id, regexp_extract_all(hex(encode(concat(url, html))), '..') AS h FROM pages),
+l AS (SELECT page_id, list_transform(h, lambda x: CAST((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1 AS BIGINT)) AS l FROM b)
+SELECT page_id, xor(list_reduce(list_concat([4294967295::BIGINT], l), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS crc, true AS intact, false AS changed_intact FROM l, t""")
 def page_crc(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", codec.checksum(F.col("url"), F.col("html")).alias("crc"), "url", "html")
-    return pages.select("page_id", "crc", codec.intact(F.col("crc"), F.col("url"), F.col("html")).alias("intact"))
+    """Checksums, computed by the polynomial on the other side; a page with one more byte doesn't pass."""
+    crc = codec.checksum(F.col("url"), F.col("html"))
+    stored_ = table(spark, sf_dir, "pages").select("page_id", crc.alias("crc"), "url", "html")
+    return stored_.select("page_id", "crc", codec.intact(F.col("crc"), F.col("url"), F.col("html")).alias("intact"), codec.intact(F.col("crc"), F.col("url"), F.col("html"), F.lit("x")).alias("changed_intact"))
+
+
+# --- stores
+
+
+def _clock(moments: list[datetime]):
+    """A clock that stands at the last of the moments."""
+    return lambda: moments[-1]
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE c_name END AS value FROM customer
+WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 3 UNION ALL SELECT 'note', 'second' UNION ALL SELECT 'other', 'both'""")
+def store_lifecycle(spark, sf_dir):
+    """Through the version store: writes, updates, deletes, a lifetime that ends, a checkpoint, and two writes of one transaction."""
+    now = [datetime(2024, 1, 1)]
+    store = VersionStore(spark, scratch(spark, "store"), clock=_clock(now))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value"), "c_acctbal", "c_mktsegment", "c_nationkey")
+    store.write("customers", rows.select("key", "value"))
+    store.write("customers", rows.where("c_nationkey = 3").select("key", "value"), ttl=timedelta(hours=1))
+    store.write("customers", rows.where("c_acctbal < 0 AND c_nationkey <> 3").select("key", F.lit("owes").alias("value")), read_txn=store.snapshot_id())
+    store.delete("customers", rows.where("c_mktsegment = 'BUILDING'").select("key"))
+    now.append(datetime(2024, 1, 1, 2))
+    store.checkpoint("customers")
+    with store.transaction() as txn:
+        store.write("customers", spark.createDataFrame([("note", "first"), ("other", "both")], "key string, value string"), txn=txn)
+        store.write("customers", spark.createDataFrame([("note", "second")], "key string, value string"), txn=txn)
+    return store.live("customers")
+
+
+@query("""WITH w AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+h AS (SELECT max(event_id) // 2 AS h FROM events)
+SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) FILTER (event_id <= h) AS redone, arg_min(coalesce(before, '-'), event_id) FILTER (event_id > h) AS undone FROM w, h GROUP BY user_id""")
+def store_recovery(spark, sf_dir):
+    """Through the store's own log: the first half of the events is committed, the second is lost; what redo and undo give for each key."""
+    reader = reader_of(spark, sf_dir)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), "event_id")
+    store = VersionStore(spark, scratch(spark, "store"))
+    ordered = lambda x: x.repartitionByRange("key", "event_id").sortWithinPartitions("key", "event_id").select("key", "value")
+    store.write("log", ordered(rows.where(F.col("event_id") <= reader)))
+    try:
+        with store.transaction() as txn:
+            store.write("log", ordered(rows.where(F.col("event_id") > reader)), txn=txn)
+            raise RuntimeError("the writer is lost")
+    except RuntimeError:
+        pass
+    wal = stored(store.wal("log"), "wal")
+    done, back = log.redo(wal).select("key", F.col("value").alias("redone")), log.undo(wal).select("key", F.coalesce("value", F.lit("-")).alias("undone"))
+    return done.join(back, "key", "full")
+
+
+@query(f"""SELECT doc_id, CASE WHEN list_contains({ASCII}, 'that') THEN 'changed text' ELSE text END AS text FROM documents
+WHERE NOT (list_contains({ASCII}, 'was') AND NOT list_contains({ASCII}, 'that')) AND doc_id <> 7 UNION ALL SELECT 7, 'packed words' UNION ALL SELECT -1, '{{"name": "new", "sub": {{"name": "kept"}}}}'""")
+def engine_commands(spark, sf_dir):
+    """Commands over a store: UPDATE, DELETE, INSERT COMPRESSED, an update of one JSON field, CHECKPOINT; then all documents."""
+    store = VersionStore(spark, scratch(spark, "store"))
+    store.write("docs", docs_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value")))
+    db = execute.Engine(store)
+    db.execute("UPDATE docs SET text = 'changed text' WHERE that")
+    db.execute("DELETE FROM docs WHERE was")
+    db.execute("INSERT COMPRESSED INTO docs VALUES (7, 'packed words')")
+    store.write("docs", spark.createDataFrame([("-1", '{"name": "uniqueoldname", "sub": {"name": "kept"}}')], "key string, value string"))
+    db.execute("UPDATE docs SET name = 'new' WHERE uniqueoldname")
+    db.execute("CHECKPOINT")
+    return db.documents("docs", compressed=True)
+
+
+@query(_ranked("s.avgdl", f"{THAT} AND {WAS}", ["that", "was"], 10))
+def indexed_search(spark, sf_dir):
+    """Ranked search by a stored index that two inserts built; every document of the first had another text before."""
+    docs = docs_of(spark, sf_dir).select("doc_id", "text")
+    indexed = IndexedDocuments(VersionStore(spark, scratch(spark, "store")), "docs")
+    indexed.insert(docs.select("doc_id", F.substring("text", 1, 40).alias("text")))
+    indexed.insert(docs)
+    return _rounded(indexed.search("that was", 10))
 
 
 @query("""SELECT count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses,

@@ -3,8 +3,17 @@ documents that hold the benchmark go, secrets are blotted out, and what is left
 packed into training windows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as
-Parquet in the shared folder and reads it back as the next stage's docs. Rows with
-null or empty text pass the filters; packing gives them no window.
+Parquet in the shared folder and reads it back as the next stage's docs. The last one
+gives the windows: rows of window_id, doc_id, doc_from, doc_to, at and tokens.
+
+Defined results, for the chain as a whole: rows with null or empty text pass the filters,
+and packing gives them no window; a row without a doc_id is judged by its text for
+toxicity and near copies, passes decontamination (matches are told by doc_id) and is
+packed under null; very long texts are read whole in every stage; of repeated rows one
+stays, that of the smallest doc_id and then of the smallest hashes; ties are resolved
+as the operators say; columns of documents pass all stages but the last untouched,
+whatever their names (n_chars follows a redacted text); an empty table of documents gives
+no windows; without labels nothing is toxic, without a benchmark nothing leaks.
 """
 
 from __future__ import annotations

@@ -51,6 +51,23 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in blank.where("length(text) > 0").collect()}
 
 
+def packed_ids(spark, at, docs, labels, benchmark):
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    return sorted(str(r["doc_id"]) for r in corpus_pipeline.run(spark, str(at)).collect())
+
+
+def test_odd_tables(spark, tmp_path, make_docs, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, clashing names, and empty tables, through the whole chain."""
+    assert packed_ids(spark, tmp_path / "none", no_docs, [], []) == []
+    item = [(1, prose(3, 120)), (None, "x"), (2, None), (3, "")]
+    got = set(packed_ids(spark, tmp_path / "odd", odd_docs, [(None, None, None), (5, 1, 0)], item))
+    assert got == {"4", "5", "7", "8", "None"}  # 6 and 9 hold the item, 1 and 3 have no tokens
+    twice = make_docs([(7, prose(1, 60)), (7, prose(2, 60)), (8, prose(2, 60)), (None, prose(1, 60))], extra=True)
+    assert packed_ids(spark, tmp_path / "twice", twice, [], []) == ["7", "7"]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):

@@ -44,17 +44,20 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def features(text: Column) -> Column:
-    """Counts of a text as one struct, in which it is split once into words and once into lines."""
+    """Counts of a text as one struct, in which it is split once into words and once into lines. Nothing is done word by word
+    outside of Spark's own functions."""
     t = F.coalesce(text, F.lit(""))
-    filled = lambda parts: F.filter(parts, lambda x: x != "")
     gone = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    filled = lambda t, parts: F.size(parts) - t.rlike(r"^\s").cast("int") - F.when(F.length(t) == 0, 1).otherwise(t.rlike(r"\s\z").cast("int"))
+    #: ends of words that end in an odd character or in !!
+    marks = r"(?:[^\p{L}\p{N}.,;:!?'\"()\-\s]|!!)(?=\s|\z)"
 
-    def counted(t: Column, words: Column, lines: Column, spaced: Column) -> Column:
+    def counted(t: Column, lines: Column, spaced: Column) -> Column:
         return F.struct(
             F.length(t).alias("size"),
-            F.size(words).alias("words"),
-            F.size(F.filter(words, lambda w: w.rlike(r"[^\p{L}\p{N}.,;:!?'\"()\-]$|!!$"))).alias("marked"),
-            F.size(F.array_distinct(spaced)).alias("different_words"),
+            filled(t, F.split(t, r"\s+")).alias("words"),
+            F.regexp_count(t, F.lit(marks)).alias("marked"),
+            (F.size(F.array_distinct(spaced)) - F.array_contains(spaced, "").cast("int")).alias("different_words"),
             F.size(lines).alias("lines"),
             F.size(F.array_distinct(lines)).alias("different_lines"),
             F.size(F.filter(lines, lambda x: F.rtrim(x).rlike(r"[.!?]$"))).alias("ended"),
@@ -64,8 +67,8 @@ def features(text: Column) -> Column:
         )
 
     # a lambda's variable is computed once, however often its body names it
-    parts = F.struct(t.alias("t"), filled(F.split(t, r"\s+")).alias("words"), F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "").alias("lines"), filled(F.split(t, " ")).alias("spaced"))
-    return F.get(F.transform(F.array(parts), lambda x: counted(x["t"], x["words"], x["lines"], x["spaced"])), 0)
+    parts = F.struct(t.alias("t"), F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "").alias("lines"), F.split(t, " ").alias("spaced"))
+    return F.get(F.transform(F.array(parts), lambda x: counted(x["t"], x["lines"], x["spaced"])), 0)
 
 
 def rules(counts: Column) -> dict[str, Column]:

@@ -100,11 +100,11 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("version", F.xxhash64("text"))
 
 
-EDGE = "at int, edge long, first int, last int, between long"
+EDGE = "at array<int>, edge array<long>, first array<int>, last array<int>, between array<long>"
 
 
 def edges(docs: DataFrame, p: SubstringParams) -> DataFrame:
-    """doc_id, version and es: of each edge of the document its place and hash, the first and last run that belongs to it, and the hash of the words up to the next edge."""
+    """doc_id, version and arrays over the edges of the document: their places and hashes, the first and last run that belongs to each, and the hash of the words up to the next edge."""
 
     def run(batches):
         for pdf in batches:
@@ -117,11 +117,10 @@ def edges(docs: DataFrame, p: SubstringParams) -> DataFrame:
                 last = np.append(first[1:], len(hashes) - p.least_words + 1) - 1
                 at, own = at[used], own[used]
                 between = np.append(RunHash(hashes).of(at[:-1], at[1:]), np.uint64(0))
-                es = list(zip(at.tolist(), signed(own).tolist(), first.tolist(), last.tolist(), signed(between).tolist(), strict=True))
-                rows.append((pdf["doc_id"].iat[i], pdf["version"].iat[i], es))
-            yield pd.DataFrame(rows, columns=["doc_id", "version", "es"])
+                rows.append((pdf["doc_id"].iat[i], pdf["version"].iat[i], at.astype(np.int32), signed(own), first.astype(np.int32), last.astype(np.int32), signed(between)))
+            yield pd.DataFrame(rows, columns=["doc_id", "version", "at", "edge", "first", "last", "between"])
 
-    return _picked(docs).mapInPandas(lean(run), f"doc_id long, version long, es array<struct<{EDGE.replace(' ', ':').replace(',:', ',')}>>")
+    return _picked(docs).mapInPandas(lean(run), f"doc_id long, version long, {EDGE}")
 
 
 def links(occurrences: DataFrame, parts: int) -> DataFrame:
@@ -302,7 +301,7 @@ def repeated_spans(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
     """doc_id, start, end, n_words of every passage that another document holds too."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(edges(docs, p), "edges")
-    spread = found.select("doc_id", "version", F.posexplode("es").alias("number", "e")).select("doc_id", "version", "number", "e.*")
+    spread = found.select("doc_id", "version", F.posexplode(F.arrays_zip("at", "edge", "first", "last", "between")).alias("number", "e")).select("doc_id", "version", "number", "e.*")
     shared = spread.groupBy("edge").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("edge")
     occurrences = materialize(spread.join(shared, "edge"), "occurrences")
     paths = compact(occurrences.select("edge").distinct(), materialize(links(occurrences, parts), "links"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tomewright.llm import toxicity as T
@@ -122,3 +123,38 @@ def test_threshold_of_languages():
     assert 0.55 < T.best_threshold(s, y, np.ones(4)) < 0.6
     m = T.ToxicityModel(P, None, thresholds={"*": 0.5, "de": 0.6})
     assert (m.threshold("de"), m.threshold("xx"), m.threshold(None)) == (0.6, 0.5, 0.5)
+
+
+def test_every_labelled_document_is_fitted(corpus, spark):
+    """Bounds of the sample don't matter to a model; in many shards, counts and the table cover all documents."""
+    rows, docs, labels = corpus
+    a, b = (T.model_for(docs, labels, T.ToxicityParams(epochs=2, shard=60, max_labelled=n, max_chars=c)) for n, c in ((10, 20_000), (5000, 60_000_000)))
+    assert all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights) and (a.scale, a.thresholds) == (b.scale, b.thresholds)
+    table = {r["_id"]: r for r in T.labelled(docs, labels, P).collect()}
+    assert sorted(table) == list(range(600)) and all(r["toxic"] == (i % 4 == 0) and r["text"] == rows[i][1] for i, r in table.items())
+    seen = T._presence([r["text"] for r in table.values() if not r["held"]], np.array([r["toxic"] for r in table.values() if not r["held"]]), P)
+    assert np.array_equal(a.weights["e"].any(axis=1), seen.any(axis=1))
+    flagged = {r["doc_id"] for r in T.flag(docs, labels, T.ToxicityParams(epochs=8, shard=60)).collect()}
+    assert sum(i in flagged for i in range(600, 900, 4)) >= 0.9 * 75 and sum(i in flagged for i in range(600, 900) if i % 4) <= 5
+
+
+def test_counts_of_shards_are_added_exactly(spark):
+    parts = [np.random.default_rng(i).normal(size=(T.BLOCK + 9, 3)).astype(np.float32) for i in range(4)]
+    at = [np.flatnonzero(np.random.default_rng(9 + i).random(T.BLOCK + 9) < 0.3) for i in range(4)]
+    pdf = pd.concat([x for a, p in zip(at, parts, strict=True) for x in T._changes(a, p[a])], ignore_index=True)
+    sums, times = np.zeros((T.BLOCK + 9, 3)), np.zeros(T.BLOCK + 9)
+    for a, p in zip(at, parts, strict=True):
+        sums[a] += p[a]
+        times[a] += 1
+    changes = spark.createDataFrame(pdf, "block int, at binary, change binary")
+    assert T._added(changes, sums.shape, mean=False) == pytest.approx(sums, abs=1e-8)
+    assert T._added(changes, sums.shape, mean=True) == pytest.approx(sums / np.maximum(times, 1)[:, None], abs=1e-6)
+
+
+def test_thresholds_equal_those_of_all_scores_at_once(spark):
+    r = np.random.default_rng(3)
+    rows = [(("de", "en", "fr", "", None)[i % 5], int(y), float(np.round(np.clip(0.3 * y + r.random() * 0.7, 0, 1), 2))) for i, y in enumerate(r.random(1500) < 0.3)]
+    rows += [("es", int(i < 7), i / 40) for i in range(40)]
+    got = T.fitted_thresholds(spark.createDataFrame(rows, "lang string, toxic int, score double").repartition(7), P)
+    best = lambda own: T.best_threshold(np.array([x[2] for x in own]), np.array([x[1] for x in own]), np.ones(len(own)))
+    assert got == {"*": best(rows)} | {k: best([x for x in rows if x[0] == k]) for k in ("de", "en", "fr")}

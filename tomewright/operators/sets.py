@@ -64,6 +64,8 @@ def serialised_chunks(ids: DataFrame) -> DataFrame:
 
 def read_chunks(parts: DataFrame) -> DataFrame:
     """(high, low) from serialised chunks."""
-    lows = F.transform(F.sequence(F.lit(0), from_little_endian(F.substring("chunk", 9, 4), 4) - 1), lambda i: F.expr("substring(hex(chunk), 25)").substr((i * 4 + 1).cast("int"), F.lit(4)))
+    # the digits are made once and cut in one pass, as a look-up by place would copy the whole chunk for every id
+    size = from_little_endian(F.substring("chunk", 9, 4), 4).cast("int") * 2
+    digits = F.regexp_extract_all(F.hex(F.col("chunk").substr(F.lit(13), size)), F.lit("[0-9A-F]{4}"), F.lit(0))
     high = from_little_endian(F.substring("chunk", 1, 8), 8)
-    return parts.select(high.alias("high"), F.explode(lows).alias("d")).select("high", F.conv(F.concat(F.substring("d", 3, 2), F.substring("d", 1, 2)), 16, 10).cast("int").alias("low"))
+    return parts.select(high.alias("high"), F.explode(digits).alias("d")).select("high", F.conv(F.concat(F.substring("d", 3, 2), F.substring("d", 1, 2)), 16, 10).cast("int").alias("low"))

@@ -55,51 +55,72 @@ class RunPrefixCodec:
         if not 1 <= len(raw) <= MAX_BLOCK:
             raise ValueError("invalid compression parameters")
         symbols = np.frombuffer(run_symbols(raw), np.uint8)
-        codes, sizes = _CODES[symbols], _SIZES[symbols]
-        ends = np.cumsum(sizes)
-        bits = np.zeros(-(-int(ends[-1]) // 8) * 8, np.uint8)
-        for k in range(9):  # bit k of each code, the first one at the most significant place
-            own = sizes > k
-            bits[(ends - sizes)[own] + k] = codes[own] >> (sizes[own] - 1 - k) & 1
+        bits = _CODE_BITS[symbols][_CODE_MASK[symbols]]
         return MAGIC + len(raw).to_bytes(2, "big") + (len(symbols) & 0xFFFF).to_bytes(2, "big") + np.packbits(bits).tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         if packed[:2] != MAGIC or len(packed) < HEADER_BYTES:
             raise ValueError("no block header")
         size = int.from_bytes(packed[2:4], "big")
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8, offset=HEADER_BYTES))
-        padded = np.concatenate([bits, np.zeros(9, np.uint8)]).astype(np.uint16)
-        window = sum(padded[k : k + len(bits)] << (8 - k) for k in range(9))  # the 9 bits from each place on
-        symbol, step = _SYMBOL[window].tolist(), _STEP[window].tolist()
-        out, at = bytearray(), 0
-        try:
-            while len(out) < size:
-                s, at = symbol[at], at + step[at]
-                if s != RUN_MARK:
-                    out.append(s)
-                    continue
-                n, at = symbol[at], at + step[at]
-                value, at = symbol[at], at + step[at]
-                out += bytes([value]) * n
-        except IndexError:
-            raise ValueError("block ends before its length") from None
-        if len(out) != size:
+        symbols = _symbols_of(np.frombuffer(packed, np.uint8, offset=HEADER_BYTES))
+        times = np.ones(len(symbols), np.int64)
+        after = 0
+        for at in np.flatnonzero(symbols == RUN_MARK).tolist():
+            if at >= after:  # else it is the times or the byte of the run before
+                after = at + 3
+                times[at : at + 2] = 0
+                times[at + 2 : after] = symbols[at + 1 : at + 2]
+        total = np.cumsum(times)
+        end = int(np.searchsorted(total, size))
+        if size and end == len(symbols):
+            raise ValueError("block ends before its length")
+        if size and total[end] != size:
             raise ValueError("block has another length than its header says")
-        return bytes(out)
+        return np.repeat(symbols[: end + 1], times[: end + 1]).tobytes() if size else b""
+
+
+def _symbols_of(raw: np.ndarray) -> np.ndarray:
+    """Every symbol that starts within the bytes of a prefix code. Where a symbol starts depends on all before it: places are
+    linked to the next one, then to the eighth, so that only each eighth is gone to one at a time."""
+    if not len(raw):
+        return np.zeros(0, np.uint8)
+    n = 8 * len(raw)
+    wide = np.zeros(len(raw) + 2, np.uint32)
+    wide[:-2] = raw
+    wide = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    window = ((wide[:, None] >> _SHIFTS) & 511).ravel()  # the 9 bits from each place on
+    links = np.full(n + 1, n, np.int32)
+    np.minimum(np.arange(n, dtype=np.int32) + _STEP[window], n, out=links[:n])
+    far = links
+    for _ in range(3):
+        far = far[far]
+    view, at, places = memoryview(far), 0, []
+    while at < n:
+        places.append(at)
+        at = view[at]
+    place = np.array(places, np.int32)
+    rows = [place]
+    for _ in range(7):
+        rows.append(links[rows[-1]])
+    place = np.stack(rows, 1).ravel()
+    return _SYMBOL[window[place[: np.searchsorted(place, n)]]]
 
 
 def run_symbols(raw: bytes) -> bytes:
     """The symbols of a block: run mark, times and byte for each run of 4 or more and for a run mark, else the bytes."""
-    symbols = bytearray()
-    for value, n in runs(raw):
+    a = np.frombuffer(raw, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1]) if len(a) else np.zeros(0, np.int64)
+    times = np.diff(starts, append=len(a))
+    marked = (times >= 4) | (a[starts] == RUN_MARK)
+    symbols, at = bytearray(), 0
+    for start, n in zip(starts[marked].tolist(), times[marked].tolist(), strict=True):
+        symbols += raw[at:start]
+        value, at = raw[start], start + n
         while n:
             part = min(n, 255)
-            if part >= 4 or value == RUN_MARK:
-                symbols += bytes((RUN_MARK, part, value))
-            else:
-                symbols += bytes([value]) * part
+            symbols += bytes((RUN_MARK, part, value)) if part >= 4 or value == RUN_MARK else bytes([value]) * part
             n -= part
-    return bytes(symbols)
+    return bytes(symbols + raw[at:])
 
 
 def blocks(raw: bytes) -> list[bytes]:
@@ -155,8 +176,10 @@ def canonical_codes() -> dict[int, tuple[int, int]]:
 
 
 CODES = canonical_codes()
-_CODES = np.array([CODES[b][0] for b in range(256)], np.int64)
-_SIZES = np.array([CODES[b][1] for b in range(256)], np.int64)
+#: Of each byte: the bits of its code, most significant first, and which of the 9 places they fill.
+_CODE_MASK = np.array([[k < CODES[b][1] for k in range(9)] for b in range(256)])
+_CODE_BITS = np.array([[CODES[b][0] >> (CODES[b][1] - 1 - k) & 1 if k < CODES[b][1] else 0 for k in range(9)] for b in range(256)], np.uint8)
+_SHIFTS = np.arange(15, 7, -1, dtype=np.uint32)
 #: By the next 9 bits: the symbol and the bits that it takes.
 _SYMBOL, _STEP = np.zeros(512, np.uint8), np.ones(512, np.uint8)
 for _byte, (_code, _n) in CODES.items():

@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tomewright import queries
 from tomewright.functions.codec import BlockCodec, RunPrefixCodec
 from tomewright.operators import sets
 
@@ -35,3 +36,14 @@ def test_block_codec_marks_among_runs():
         assert RunPrefixCodec().decode(packed) == raw
         with pytest.raises(ValueError, match="ends before"):
             RunPrefixCodec().decode(packed[:6])
+
+
+def exchanges(frame) -> int:
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("name", ["postings_chunks", "postings_chunk_rows", "postings_delta", "postings_delta_decode"])
+def test_postings_are_shuffled_once(spark, tmp_path, name):
+    docs = spark.createDataFrame([(3, "b b a"), (1, "a c"), (2, "b")], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert exchanges(queries.QUERIES[name](spark, str(tmp_path))) == 1

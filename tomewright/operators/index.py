@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.codec import read_varints, running_totals, varint_length, varints
 from tomewright.functions.keys import little_endian
 from tomewright.functions.text import ascii_tokens, unicode_tokens
 
-from .running import previous, running_sums
+from .running import running_sums
 
 CHUNK = 256
-#: Ids of 2**PART_BITS in a row are ordered by one task.
+#: Ids of 2**PART_BITS in a row are ordered by one task where a key may hold most of the rows (a shard, a whole log).
+#: A term holds at most one posting a document, a small share of all, so postings are ordered within their term as a whole.
 PART_BITS = 20
 
 
+def _along(order: str):
+    """The postings of a term in order, ids that are null last."""
+    return Window.partitionBy("term").orderBy(F.asc_nulls_last(order))
+
+
 def postings(docs: DataFrame, text: str = "text", words: list[str] | None = None) -> DataFrame:
     """(term, doc_id): the distinct ASCII tokens of each document, or those of them that are among words."""
     tokens = ascii_tokens(text)
@@ -23,9 +29,12 @@ def postings(docs: DataFrame, text: str = "text", words: list[str] | None = None
     return docs.select("doc_id", F.explode(own).alias("term")).select("term", "doc_id")
 
 
-def term_frequencies(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, doc_id, term, tf) under the Unicode analyzer."""
-    return docs.select(*keys, "doc_id", F.explode(unicode_tokens(text)).alias("term")).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
+def term_frequencies(docs: DataFrame, *keys: str, text: str = "text", by_term: bool = False) -> DataFrame:
+    """(keys, doc_id, term, tf) under the Unicode analyzer. by_term: the words are shuffled by term before they are
+    counted, so that what goes on by term needs no other shuffle."""
+    words = docs.select(*keys, "doc_id", F.explode(unicode_tokens(text)).alias("term"))
+    words = words.repartition("term") if by_term else words
+    return words.groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
@@ -63,13 +72,14 @@ def running_lengths(docs: DataFrame, key: Column, text: str = "text") -> DataFra
 
 def delta_encode(posted: DataFrame) -> DataFrame:
     """(term, doc_id, delta): the gap to the id before it, the first id as it is."""
-    before = previous(posted.select("term", "doc_id"), "doc_id", F.shiftright("doc_id", PART_BITS), ["term"], "before")
-    return before.select("term", "doc_id", (F.col("doc_id") - F.coalesce("before", F.lit(0))).alias("delta"))
+    before = F.lag("doc_id").over(_along("doc_id"))
+    return posted.select("term", "doc_id", (F.col("doc_id") - F.coalesce(before, F.lit(0))).alias("delta"))
 
 
 def delta_decode(gaps: DataFrame, order: str = "position") -> DataFrame:
     """(term, position, doc_id) from (term, position, delta)."""
-    return running_sums(gaps, order, F.shiftright(order, PART_BITS), ["term"], doc_id="delta").select("term", order, "doc_id")
+    so_far = _along(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return gaps.select("term", order, F.sum("delta").over(so_far).alias("doc_id"))
 
 
 def chunked(frequencies: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -79,8 +89,8 @@ def chunked(frequencies: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def numbered(posted: DataFrame) -> DataFrame:
-    """Adds position: 1 for the first document of a term, and so on, without one task that sorts all postings of a frequent term."""
-    return running_sums(posted.withColumn("_one", F.lit(1).cast("bigint")), "doc_id", F.shiftright("doc_id", PART_BITS), ["term"], position="_one").drop("_one")
+    """Adds position: 1 for the first document of a term, and so on."""
+    return posted.withColumn("position", F.row_number().over(_along("doc_id")).cast("bigint"))
 
 
 def segment_blocks(posted: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def postings_delta_decode(spark, sf_dir):
 
 @query(f"WITH {TF} SELECT term, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 256) AS INTEGER) AS chunk_id, doc_id, tf FROM tf")
 def postings_chunks(spark, sf_dir):
-    return index.chunked(index.term_frequencies(docs_of(spark, sf_dir)))
+    return index.chunked(index.term_frequencies(docs_of(spark, sf_dir), by_term=True))
 
 
 @query(f"WITH {TF}, c AS (SELECT term, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 256) AS INTEGER) AS chunk_id, tf FROM tf) SELECT 'term:' || term || ':chunk:' || chunk_id AS chunk_key, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM c GROUP BY term, chunk_id")

@@ -143,7 +143,7 @@ def postings_chunks(spark, sf_dir):
 
 @query(f"WITH {TF}, c AS (SELECT term, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) / 256) AS INTEGER) AS chunk_id, tf FROM tf) SELECT 'term:' || term || ':chunk:' || chunk_id AS chunk_key, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM c GROUP BY term, chunk_id")
 def postings_chunk_rows(spark, sf_dir):
-    rows = index.chunk_rows(index.term_frequencies(docs_of(spark, sf_dir)))
+    rows = index.chunk_rows(index.term_frequencies(docs_of(spark, sf_dir), by_term=True))
     total = F.aggregate("postings", F.lit(0.0), lambda a, x: a + x["tf"])
     return rows.select(keys.chunk_key(F.col("term"), F.col("chunk_id")).alias("chunk_key"), F.size("postings").cast("bigint").alias("n"), total.cast("bigint").alias("tf"))
 

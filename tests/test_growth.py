@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomewright import queries
 from tomewright.functions.codec import BlockCodec, RunPrefixCodec
 from tomewright.operators import sets
+from tomewright.sources import version_store
 
 
 def seconds(act):
@@ -47,3 +48,19 @@ def test_postings_are_shuffled_once(spark, tmp_path, name):
     docs = spark.createDataFrame([(3, "b b a"), (1, "a c"), (2, "b")], "doc_id bigint, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert exchanges(queries.QUERIES[name](spark, str(tmp_path))) == 1
+
+
+def test_recovery_cuts_long_transactions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(version_store, "PART_BITS", 3, raising=False)
+    monkeypatch.setattr(version_store.VersionStore, "_commit", lambda *_: None)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store = version_store.VersionStore(spark, str(tmp_path / "store"))
+        store.write("log", spark.range(200).selectExpr("CAST(id % 7 AS string) AS key", "CAST(id AS string) AS value"))
+        wal = store.wal("log")
+        assert wal.select(F.spark_partition_id()).distinct().count() > 1
+        rows = wal.orderBy("txn_id", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [49 + len(r["key"]) + len(r["old_value"] or "") + len(r["new_value"]) for r in rows]
+    assert [r["lsn"] for r in rows] == [sum(sizes[:i]) for i in range(200)]

@@ -34,6 +34,8 @@ COLUMNS = [x.split()[0] for x in LOG.split(", ")]
 COMMITS = "txn_id bigint, collection string, generation string, part string, committed_at timestamp"
 #: Rows of one statement; those of the next one in a transaction are later.
 STATEMENT = 1 << 52
+#: 2**PART_BITS rows in a row of one task of a statement are ordered by one task of recovery.
+PART_BITS = 18
 CONFLICT = "OCC SERIALIZATION ISOLATION FAILURE: Write conflict detected on key {}"
 
 
@@ -144,7 +146,8 @@ class VersionStore:
         ends = self.commits().where(F.col("collection") == collection).select("txn_id").distinct()
         ends = ends.select("txn_id", F.lit(2**63 - 1).alias("seq"), F.lit("commit").alias("kind"), F.lit("").alias("key"), none.alias("old_value"), none.alias("new_value"), F.lit(False).alias("deleted"), F.lit(None).cast("timestamp").alias("expires_at"))
         rows = every.unionByName(ends).withColumn("at", F.struct("txn_id", "seq", "key"))
-        return with_lsn(rows, record_size(F.col("key"), F.col("old_value"), F.col("new_value")), "at", F.shiftright("txn_id", 10)).drop("at")
+        part = F.struct("txn_id", F.shiftright("seq", PART_BITS).alias("rows"))  # a transaction may hold most of the log, so its rows are cut as well
+        return with_lsn(rows, record_size(F.col("key"), F.col("old_value"), F.col("new_value")), "at", part).drop("at")
 
     def begin(self) -> int:
         """A new transaction id, above all that were ever committed."""
